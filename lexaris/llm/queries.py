@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaris.llm import mixture, quota_sample, term_scores, term_stats, top_items
+from lexaris.llm import encoding, leaks, mixture, quota_sample, term_scores, term_stats, top_items
 from lexaris.session import cut
 from lexaris.tables import load, options
 
@@ -62,6 +62,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir).where("mark is not null").select("term", "mark")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def _mix_parts(spark: SparkSession, sf_dir: str):
     sizes = cut(mixture.token_sizes(load(spark, sf_dir, "documents")), "sizes")
     sums = cut(mixture.histogram(sizes), "histogram")
@@ -82,10 +86,19 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(mixture.mix(sizes, sums, plan), plan)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_tokens(load(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    return encoding.restored(documents, cut(encoding.garbled_tokens(documents), "garbled-tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p5_found, p5_frequencies, p8_found, p8_mix,
-        p8_report,
+        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p5_found, p5_frequencies, p7_found, p8_found, p8_mix,
+        p8_report, p9_found, p9_restored,
     )
 }
