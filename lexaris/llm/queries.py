@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaris.llm import encoding, leaks, mixture, quota_sample, term_scores, term_stats, top_items
+from lexaris.llm import encoding, leaks, mixture, neighbours, quota_sample, term_scores, term_stats, top_items
 from lexaris.session import cut
 from lexaris.tables import load, options
 
@@ -62,6 +62,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir).where("mark is not null").select("term", "mark")
 
 
+def _neighbours(spark: SparkSession, sf_dir: str, space: str, k: int) -> DataFrame:
+    vectors = neighbours.valid_vectors(load(spark, sf_dir, space), versions=space == "xdm")
+    return neighbours.nearest(cut(vectors, space), k).withColumn("space", F.lit(space))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = options(spark, sf_dir)
+    best = [_neighbours(spark, sf_dir, space, int(o["knn"])) for space in ("xdm", "xcm")]
+    out = [neighbours.similar_pairs(b, o["minSim"]).withColumn("space", F.lit(s)) for b, s in zip(best, ("xdm", "xcm"))]
+    return out[0].unionByName(out[1]).select("space", "id_a", "id_b")
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = int(options(spark, sf_dir)["knn"])
+    out = _neighbours(spark, sf_dir, "xdm", k).unionByName(_neighbours(spark, sf_dir, "xcm", k))
+    return out.select("space", "id", "other", "sim", "rank")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -98,7 +116,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p5_found, p5_frequencies, p7_found, p8_found, p8_mix,
+        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p5_found, p5_frequencies, p6_found, p6_neighbours, p7_found, p8_found, p8_mix,
         p8_report, p9_found, p9_restored,
     )
 }
