@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaris.llm import encoding, leaks, mixture, neighbours, quota_sample, term_scores, term_stats, top_items
+from lexaris.llm import encoding, leaks, mixture, neighbours, quota_sample, subjects, term_scores, term_stats, top_items
 from lexaris.session import cut
 from lexaris.tables import load, options
 
@@ -49,6 +49,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("cat_id", "doc_id")
 
 
+def _subject_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(*[load(spark, sf_dir, t) for t in ("tf", "doc_cats", "cat2id")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subject_areas(spark, sf_dir).where("not seed").select("doc_id", "subject")
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject, a document with several divided among them."""
+    rows = cut(_subject_areas(spark, sf_dir), "areas")
+    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.join(n, "doc_id").groupBy("subject")
+    return out.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.sum(1.0 / F.col("n")), 6).alias("weight"))
+
+
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = options(spark, sf_dir)
     return term_stats.frequencies(load(spark, sf_dir, "tf"), o["minFreq"], o["minDocFreq"], o["maxDocShare"])
@@ -116,7 +132,8 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p5_found, p5_frequencies, p6_found, p6_neighbours, p7_found, p8_found, p8_mix,
+        p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p4_found, p4_composition,
+        p5_found, p5_frequencies, p6_found, p6_neighbours, p7_found, p8_found, p8_mix,
         p8_report, p9_found, p9_restored,
     )
 }
