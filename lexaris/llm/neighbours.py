@@ -226,7 +226,8 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     lists = int(max(1, min(4096, len(sample) // 4, round(2 * total**0.5))))
     books = fit(_matrix(sample["x"]), lists, s)
 
-    coded = members.select("id", "x").mapInPandas(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = members.select("id", "x").repartition(tasks).mapInPandas(
         _packed(books, s), "id long, x array<double>, list int, codes binary, norm double, probed array<int>"
     )
     coded = cut(coded, "coded")
@@ -239,7 +240,7 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     asking = coded.select("id", "x", F.explode("probed").alias("list"), F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"))
     asking = asking.repartition("list", spread).sortWithinPartitions("list").mapInPandas(pack, packed)
     asking = cut(asking.select("list", F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs")), "queries")
-    found = asking.join(data, "list").drop("list").mapInPandas(_search(books, k, s), "id long, other long, sim double")
+    found = asking.join(data, "list").drop("list").repartition(tasks).mapInPandas(_search(books, k, s), "id long, other long, sim double")
     best = _ranked(cut(found, "found"), k)
     best = cut(best, "best")
 
