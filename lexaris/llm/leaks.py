@@ -6,7 +6,7 @@ run keeps, in some window of RUN words, at least KEPT of the window's shingles o
 SHINGLE words: a run of n words has n - 2 shingles of three and loses at most three to
 each of its n / 6 edits. Two sets that share KEPT of WINDOW elements share one of the
 WINDOW - KEPT + 1 rarest, so only these are looked up first. Positions bound the
-candidates further, and the run itself is verified word by word over windows of the
+candidates further, as a run keeps KEPT_IN_RUN shingles close together, and the run itself is verified word by word over windows of the
 size of the item.
 """
 
@@ -29,6 +29,8 @@ WINDOW = RUN - SHINGLE + 1
 #: The least number of shingles that any run of RUN or more words keeps in one of its windows.
 KEPT = 4
 PREFIX = WINDOW - KEPT + 1
+#: The least number of shingles that any run keeps in all: n - 2 less 3 for each of n / 6 edits, least for n = RUN.
+KEPT_IN_RUN = RUN - SHINGLE + 1 - SHINGLE * (RUN // EDITS)
 #: Shingles of all items up to this number are sent to every executor, 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -138,7 +140,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     candidates = near.groupBy("doc_id", "item_id", "block").agg(
         F.count(F.lit(1)).alias("kept"), F.max("prefix").alias("prefix")
     )
-    candidates = cut(candidates.where(F.col("prefix") & (F.col("kept") >= KEPT)).drop("kept", "prefix"), "candidates")
+    candidates = cut(candidates.where(F.col("prefix") & (F.col("kept") >= KEPT_IN_RUN)).drop("kept", "prefix"), "candidates")
 
     pairs = texts.join(candidates, "doc_id").join(known.withColumnRenamed("words", "item_words"), "item_id")
     start = F.greatest(F.col("block") * block, F.lit(0))
