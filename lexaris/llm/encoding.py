@@ -198,7 +198,8 @@ def learn(vocab: DataFrame) -> DataFrame:
 
     ``fixed`` still holds U+FFFD where the sign cannot be told. Empty without garbled words.
     """
-    cand = cut(vocab.where(~F.contains("word", F.lit("�"))).mapInPandas(_candidates, _SCHEMA), "candidates")
+    tasks = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = cut(vocab.where(~F.contains("word", F.lit("�"))).repartition(tasks).mapInPandas(_candidates, _SCHEMA), "candidates")
     skeleton = lambda c: F.regexp_replace(c, NOT_ASCII, "")
     twins = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("twin_df"), skeleton(F.col("word")).alias("ascii"))
     cand = cand.withColumn("ascii", skeleton(F.col("fixed"))).join(twins, ["ascii", "fixed"], "left").drop("ascii")
