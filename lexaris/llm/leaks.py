@@ -71,21 +71,25 @@ def run_found(item: list[str], text: list[str]) -> bool:
             if i0 and j0 and item[i0 - 1] == text[j0 - 1]:
                 continue  # starts earlier
             reach = {j0 - i0: slide(i0, j0)}
+            ends = list(reach.values())  # behind an equal word: a run does not end in an edit
             k = 0
             while True:
-                if any(i - i0 >= max(RUN, EDITS * k) for i in reach.values()):
+                if any(i - i0 >= max(RUN, EDITS * k) for i in ends):
                     return True
                 k += 1
                 if EDITS * k > n - i0:
                     break
                 beyond: dict[int, int] = {}
+                ends = []
                 for d, i in reach.items():
                     if i >= n:
                         continue
                     for step_i, step_d in ((1, 0), (1, -1), (0, 1)):  # replaced, left out, put in
                         to, diagonal = i + step_i, d + step_d
                         if to <= n and 0 <= to + diagonal <= m:
-                            to = slide(to, to + diagonal)
+                            first, to = to, slide(to, to + diagonal)
+                            if to > first:
+                                ends.append(to)
                             if to > beyond.get(diagonal, -1):
                                 beyond[diagonal] = to
                 reach = beyond
