@@ -114,7 +114,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _packed(books: list[np.ndarray], s: Settings):
-    """Codes vectors and gives, per list, a block of members and a block of the queries that probe it."""
+    """Codes vectors: their list, codes, the norm of what the codes stand for, and the lists they look into."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -129,7 +129,7 @@ def _packed(books: list[np.ndarray], s: Settings):
             yield pd.DataFrame(
                 {
                     "id": rows["id"].to_numpy(),
-                    "x": rows["x"].to_numpy(),
+                    "x": [v.astype("<f8").tobytes() for v in x],
                     "list": codes[:, 0],
                     "codes": [c.astype("<i4").tobytes() for c in codes],
                     "norm": norms,
@@ -140,64 +140,37 @@ def _packed(books: list[np.ndarray], s: Settings):
     return code
 
 
-def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Runs of equal list (input sorted by it) as rows of packed members, ``size`` each at most."""
-    kept: pd.DataFrame | None = None
-
-    def packed(rows: pd.DataFrame) -> Iterator[tuple]:
-        for lst, part in rows.groupby("list", sort=False):
-            for a in range(0, len(part), size):
-                p = part.iloc[a : a + size]
-                yield (
-                    lst,
-                    p["id"].to_numpy("<i8").tobytes(),
-                    _matrix(p["x"]).astype("<f8").tobytes(),
-                    b"".join(p["codes"]),
-                    p["norm"].to_numpy("<f8").tobytes(),
-                )
-
-    for rows in batches:
-        rows = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
-        if rows.empty:
-            continue
-        last = rows["list"] == rows["list"].iloc[-1]
-        if last.sum() >= size:  # a long list leaves in full blocks as it comes
-            full = last[last].index[: last.sum() // size * size]
-            ready, kept = rows.loc[~last | last.index.isin(full)], rows.loc[last & ~last.index.isin(full)]
-        else:
-            ready, kept = rows[~last], rows[last]
-        if len(ready):
-            yield pd.DataFrame(packed(ready), columns=["list", "ids", "xs", "codes", "norms"])
-    if kept is not None and len(kept):
-        yield pd.DataFrame(packed(kept), columns=["list", "ids", "xs", "codes", "norms"])
-
-
 def _search(books: list[np.ndarray], k: int, s: Settings):
     """The k best members of a block for each query of a block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for q_ids, q_xs, ids, xs, codes, norms in zip(
-                rows["q_ids"], rows["q_xs"], rows["ids"], rows["xs"], rows["codes"], rows["norms"], strict=True
-            ):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = np.frombuffer(q_xs, "<f8").reshape(len(q_ids), -1), np.frombuffer(xs, "<f8").reshape(len(ids), -1)
-                codes, norms = np.frombuffer(codes, "<i4").reshape(len(ids), -1), np.frombuffer(norms, "<f8")
-                score = np.zeros((len(q_ids), len(ids)))
-                for b, book in enumerate(books):
-                    score += (q @ book.T)[:, codes[:, b]]
-                score /= np.maximum(norms, 1e-12)
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
-                keep = min(s.rerank, len(ids))
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                exact = np.round(np.einsum("qd,qkd->qk", q, x[best]), 9)
-                found = ids[best]
-                exact[found == q_ids[:, None]] = -np.inf
-                order = np.lexsort((found, -exact), axis=1)[:, :k]
-                exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(found, order, 1)
-                who = np.repeat(q_ids, order.shape[1])
-                ok = np.isfinite(exact.ravel())
-                yield pd.DataFrame({"id": who[ok], "other": found.ravel()[ok], "sim": exact.ravel()[ok]})
+    def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or members.empty:
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        q_ids, ids = queries["asker"].to_numpy(), members["id"].to_numpy()
+        q = np.frombuffer(b"".join(queries["y"]), "<f8").reshape(len(q_ids), -1)
+        x = np.frombuffer(b"".join(members["x"]), "<f8").reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(members["codes"]), "<i4").reshape(len(ids), -1)
+        norms = np.maximum(members["norm"].to_numpy(), 1e-12)
+        parts = []
+        for a in range(0, len(q_ids), s.block):
+            part, who = q[a : a + s.block], q_ids[a : a + s.block]
+            score = np.zeros((len(part), len(ids)))
+            for b, book in enumerate(books):
+                score += (part @ book.T)[:, codes[:, b]]
+            score /= norms
+            score[who[:, None] == ids[None, :]] = -np.inf
+            keep = min(s.rerank, len(ids))
+            best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+            exact = np.empty(best.shape)
+            for c in range(0, len(part), 64):
+                exact[c : c + 64] = np.einsum("qd,qkd->qk", part[c : c + 64], x[best[c : c + 64]])
+            exact, found = np.round(exact, 9), ids[best]
+            exact[found == who[:, None]] = -np.inf
+            order = np.lexsort((found, -exact), axis=1)[:, :k]
+            exact, found = np.take_along_axis(exact, order, 1).ravel(), np.take_along_axis(found, order, 1).ravel()
+            ok = np.isfinite(exact)
+            parts.append(pd.DataFrame({"id": np.repeat(who, order.shape[1])[ok], "other": found[ok], "sim": exact[ok]}))
+        return pd.concat(parts, ignore_index=True)
 
     return run
 
@@ -228,20 +201,25 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = members.select("id", "x").repartition(tasks).mapInPandas(
-        _packed(books, s), "id long, x array<double>, list int, codes binary, norm double, probed array<int>"
+        _packed(books, s), "id long, x binary, list int, codes binary, norm double, probed array<int>"
     )
     coded = cut(coded, "coded")
-    packed = "list int, ids binary, xs binary, codes binary, norms binary"
-    pack = lambda it: _blocks(it, s.block)
-    # lists are hashed with a salt, so that no task gets a long list whole
-    spread = F.pmod(F.xxhash64("id"), F.lit(16))
-    data = coded.select("id", "x", "list", "codes", "norm").repartition("list", spread)
-    data = cut(data.sortWithinPartitions("list").mapInPandas(pack, packed), "blocks")
-    asking = coded.select("id", "x", F.explode("probed").alias("list"), F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"))
-    asking = asking.repartition("list", spread).sortWithinPartitions("list").mapInPandas(pack, packed)
-    asking = cut(asking.select("list", F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs")), "queries")
-    found = asking.join(data, "list").drop("list").repartition(tasks).mapInPandas(_search(books, k, s), "id long, other long, sim double")
-    best = _ranked(cut(found, "found"), k)
+    # blocks of each list's members and of the queries that look into it, so that no task gets a long list whole
+    asked = coded.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("nm")).join(asked, "list")
+    sizes = sizes.select("list", F.ceil(F.col("nm") / s.block).alias("mb"), F.ceil(F.col("nq") / (4 * s.block)).alias("qb"))
+    sizes = F.broadcast(cut(sizes, "sizes"))  # one row a list, at most 4096
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    data = coded.join(sizes, "list").select(
+        "list", F.pmod(F.xxhash64("id"), "mb").alias("m"), numbers("qb").alias("q"), "id", "x", "codes", "norm"
+    )
+    asking = coded.select("id", "x", F.explode("probed").alias("list")).join(sizes, "list").select(
+        "list", numbers("mb").alias("m"), F.pmod(F.xxhash64("id"), "qb").alias("q"), F.col("id").alias("asker"), F.col("x").alias("y")
+    )
+    block = ["list", "m", "q"]
+    found = asking.groupBy(*block).cogroup(data.groupBy(*block))
+    found = found.applyInPandas(_search(books, k, s), "id long, other long, sim double")
+    best = _ranked(found, k)
     best = cut(best, "best")
 
     # further members of a class: its smallest ids at 1, as ties go to them
