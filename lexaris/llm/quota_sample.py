@@ -11,6 +11,10 @@ threshold; only within the one slot at the threshold are documents ranked.
 
 from __future__ import annotations
 
+import bisect
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,15 +54,49 @@ def targets(cat_targets: DataFrame, cat2id: DataFrame) -> DataFrame:
     return rows.join(names, "cat").groupBy("cat_id").agg(F.max("share").alias("share"), F.max("least").alias("least"))
 
 
+def shares_out(rows: list[tuple[int, int, float, int]], size: int) -> dict[int, int]:
+    """Quota by category of rows (cat_id, n_docs, share, least); they sum to ``size``, or to all documents if these are fewer.
+
+    Each category has factor x share, but its least at least and its documents at most,
+    with one factor for all; between the points where a category reaches one of its
+    bounds the sum is linear in the factor. If categories with a share cannot take all,
+    those without one take the rest in proportion to their spare documents. If the least
+    alone exceed ``size``, they hold nevertheless. Exact fractions; what flooring leaves
+    goes to the largest remainders, ties to the smaller cat_id.
+    """
+    cats = [(c, n, Fraction(t) if 0 < t < math.inf else Fraction(0), max(0, min(n, least))) for c, n, t, least in rows]
+    size = min(size, sum(n for _, n, _, _ in cats))
+
+    def at(factor: Fraction) -> dict[int, Fraction]:
+        return {c: max(Fraction(least), min(Fraction(n), factor * t)) for c, n, t, least in cats}
+
+    size = max(size, sum(least for _, _, _, least in cats))
+    points = sorted({Fraction(b) / t for _, n, t, least in cats if t for b in (least, n)} | {Fraction(0)})
+    if sum(at(points[-1]).values()) < size:
+        full = at(points[-1])
+        spare = sum(n - full[c] for c, n, _, _ in cats)
+        part = (size - sum(full.values())) / spare
+        exact = {c: full[c] + (n - full[c]) * part for c, n, _, _ in cats}
+    else:
+        i = bisect.bisect_left(points, size, key=lambda f: sum(at(f).values()))
+        low, high = points[max(0, i - 1)], points[i]
+        below, above = sum(at(low).values()), sum(at(high).values())
+        exact = at(low + (high - low) * (size - below) / (above - below) if above > below else high)
+    out = {c: math.floor(x) for c, x in exact.items()}
+    for c in sorted(exact, key=lambda c: (out[c] - exact[c], c))[: size - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
 def quotas(state: DataFrame, wanted: DataFrame, share: float) -> DataFrame:
     """One row per target category: what it has, what is wanted of it, its feasible quota.
 
     (cat_id, n_docs, target_share, min_docs, wanted, quota, exhausted). The sample is
     to have S = floor(share x documents) documents. ``wanted`` is max(target_share x S,
-    min_docs); a category with fewer documents is exhausted and gives all it has. The
-    others give the floor of what is wanted. If minima push the sum beyond S, what
-    exceeds the minima is scaled down evenly; if exhausted categories leave room, the
-    others are scaled up evenly as far as their documents go.
+    min_docs); a category with fewer documents is exhausted. The quotas sum to S, or to
+    all documents of the target categories if these are fewer, or to the minima if these
+    are more, and follow the target shares by one common factor as far as minima and
+    documents allow (``shares_out``).
     """
     size = state.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     have = state.groupBy("cat_id").agg(F.sum("n").alias("n_docs"))
@@ -66,29 +104,11 @@ def quotas(state: DataFrame, wanted: DataFrame, share: float) -> DataFrame:
     q = q.withColumn("n_docs", F.coalesce("n_docs", F.lit(0))).withColumn("S", F.floor(F.lit(share) * F.col("total")))
     q = q.withColumn("wanted", F.greatest(F.col("share") * F.col("S"), F.col("least").cast("double")))
     q = q.withColumn("exhausted", F.col("n_docs") < F.col("wanted"))
-    q = q.withColumn("base", F.least("n_docs", F.floor("wanted")))
-    q = q.withColumn("floor_", F.least("n_docs", "least", "base"))
-    every = W.partitionBy()  # the fixed list of target categories
-    q = q.withColumn("sum_base", F.sum("base").over(every)).withColumn("sum_floor", F.sum("floor_").over(every))
-    q = q.withColumn("spare", F.col("n_docs") - F.col("base")).withColumn("sum_spare", F.sum("spare").over(every))
-    over, under = F.col("sum_base") - F.col("S"), F.col("S") - F.col("sum_base")
-    cut_down = F.floor(
-        F.col("floor_")
-        + (F.col("base") - F.col("floor_"))
-        * F.greatest(F.lit(0.0), 1 - over / F.greatest(F.lit(1), F.col("sum_base") - F.col("sum_floor")))
-    )
-    fill_up = F.floor(
-        F.col("base") + F.col("spare") * F.least(F.lit(1.0), under / F.greatest(F.lit(1), F.col("sum_spare")))
-    )
-    quota = F.when(over > 0, cut_down).when(under > 0, fill_up).otherwise(F.col("base"))
-    return q.select(
-        "cat_id",
-        "n_docs",
-        F.col("share").alias("target_share"),
-        F.col("least").alias("min_docs"),
-        "wanted",
-        quota.cast("long").alias("quota"),
-        "exhausted",
+    rows = q.collect()  # the fixed list of target categories
+    quota = shares_out([(r["cat_id"], r["n_docs"], r["share"], r["least"]) for r in rows], rows[0]["S"] if rows else 0)
+    return state.sparkSession.createDataFrame(
+        [(r["cat_id"], r["n_docs"], r["share"], r["least"], r["wanted"], quota[r["cat_id"]], r["exhausted"]) for r in rows],
+        "cat_id long, n_docs long, target_share double, min_docs long, wanted double, quota long, exhausted boolean",
     )
 
 

@@ -123,6 +123,34 @@ def test_quota_empty(spark):
     assert rows(quota_sample.sample(pool, plan, state)) == []
 
 
+def test_quota_refill_follows_targets(spark):
+    names = [("a", 1, "x", ""), ("b", 2, "x", ""), ("c", 3, "x", ""), ("d", 4, "x", "")]
+    cat2id = spark.createDataFrame(names, CAT2ID)
+    # d is exhausted; a is small in share but has most of the spare documents
+    state = spark.createDataFrame([(1, 0, 700), (2, 0, 150), (3, 0, 141), (4, 0, 10)], "cat_id long, slot int, n long")
+    wanted = spark.createDataFrame([("a", 0.1, 1), ("b", 0.1, 1), ("c", 0.1, 1), ("d", 0.7, 1)], "name string, target_share double, min_docs long")
+    quota = {r["cat_id"]: r["quota"] for r in quota_sample.quotas(state, quota_sample.targets(wanted, cat2id), 0.401).collect()}
+    assert quota == {1: 131, 2: 130, 3: 130, 4: 10}  # S = 401
+    # b and c run out on the way; the quotas still sum to S = 700
+    quota = {r["cat_id"]: r["quota"] for r in quota_sample.quotas(state, quota_sample.targets(wanted, cat2id), 0.7).collect()}
+    assert quota == {1: 399, 2: 150, 3: 141, 4: 10}
+
+
+def test_quotas_sum_to_size():
+    rng = random.Random(11)
+    for _ in range(300):
+        cats = [(c, rng.choice([0, 3, 50, 4000]), rng.choice([0.0, 0.01, 0.2, rng.random()]), rng.choice([0, 2, 30])) for c in range(rng.randint(1, 12))]
+        total = sum(n for _, n, _, _ in cats)
+        size = rng.randint(0, total + 5)
+        quota = quota_sample.shares_out(cats, size)
+        assert sum(quota.values()) == max(min(size, total), sum(min(n, least) for _, n, _, least in cats))
+        assert all(min(n, least) <= quota[c] <= n for c, n, _, least in cats)
+        # between their bounds the quotas are one multiple of the shares, but for rounding
+        free = [(t, quota[c]) for c, n, t, least in cats if t > 0 and least + 1 < quota[c] < n - 1]
+        for t, q in free:
+            assert all((q - 1) * u <= (p + 1) * t + 1e-9 for u, p in free)
+
+
 # ------------------------------------------------------------------ terms
 
 DIRTY_TF = [
