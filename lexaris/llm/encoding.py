@@ -188,9 +188,18 @@ def tokens(documents: DataFrame) -> DataFrame:
     return rows.withColumn("word", _bare(F.col("token"))).where(F.col("word") != "")
 
 
+def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows.assign(plain=rows["word"].map(resolve))
+
+
 def vocabulary(found: DataFrame) -> DataFrame:
-    """(word, df) over the tokens with signs beyond ASCII."""
-    return found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df, plain) over the tokens with signs beyond ASCII; ``plain`` has character references resolved."""
+    words = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # only words with references need Python
+    referring = F.contains("word", F.lit("&#"))
+    resolved = words.where(referring).mapInPandas(_resolved, "word string, df long, plain string")
+    return words.where(~referring).withColumn("plain", F.col("word")).unionByName(resolved)
 
 
 def learn(vocab: DataFrame) -> DataFrame:
@@ -199,7 +208,7 @@ def learn(vocab: DataFrame) -> DataFrame:
     ``fixed`` still holds U+FFFD where the sign cannot be told. Empty without garbled words.
     """
     tasks = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cand = cut(vocab.where(~F.contains("word", F.lit("�"))).repartition(tasks).mapInPandas(_candidates, _SCHEMA), "candidates")
+    cand = cut(vocab.where(~F.contains("plain", F.lit("�"))).select("word", "df").repartition(tasks).mapInPandas(_candidates, _SCHEMA), "candidates")
     skeleton = lambda c: F.regexp_replace(c, NOT_ASCII, "")
     twins = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("twin_df"), skeleton(F.col("word")).alias("ascii"))
     cand = cand.withColumn("ascii", skeleton(F.col("fixed"))).join(twins, ["ascii", "fixed"], "left").drop("ascii")
@@ -243,14 +252,14 @@ def learn(vocab: DataFrame) -> DataFrame:
 
 
 def replaced(vocab: DataFrame) -> DataFrame:
-    """(word, fixed, chain) of words with replacement characters, restored by the commonest
-    word with the same letters around any one sign each; unchanged where there is none."""
+    """(word, fixed, chain) of words with replacement characters or references to them, restored by
+    the commonest word with the same letters around any one sign each; only resolved where there is none."""
     pattern = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "\x01")
-    lost = F.contains("word", F.lit("�"))
-    clean = vocab.where(~lost).select(pattern(F.col("word")).alias("p"), F.struct("df", "word").alias("w"))
+    lost = F.contains("plain", F.lit("�"))
+    clean = vocab.where(~lost).select(pattern(F.col("plain")).alias("p"), F.struct("df", "plain").alias("w"))
     clean = clean.groupBy("p").agg(F.max("w").alias("w")).where(F.regexp_replace("p", "[^A-Za-z]", "") != "")
-    gone = vocab.where(lost).withColumn("p", pattern(F.col("word"))).join(clean, "p", "left")
-    return gone.select("word", F.coalesce("w.word", "word").alias("fixed"), F.lit("replaced").alias("chain"))
+    gone = vocab.where(lost).withColumn("p", pattern(F.col("plain"))).join(clean, "p", "left")
+    return gone.select("word", F.coalesce("w.plain", "plain").alias("fixed"), F.lit("replaced").alias("chain"))
 
 
 def garbled_tokens(documents: DataFrame) -> DataFrame:

@@ -401,3 +401,14 @@ def test_garbled_doc_of_learned_signs(spark):
     clean = [(i, SENTENCE) for i in range(30)]
     g = encoding.garbled_tokens(texts(spark, clean + [(50, broken("Müller über früh Brücken süß Kübelfüller", "cp1252", "mac_roman"))]))
     assert ("Kübelfüller",) in [(r["fixed"],) for r in g.collect()]
+
+
+def test_references_to_the_replacement_character(spark):
+    clean = [(i, SENTENCE) for i in range(30)]
+    odd = {50: "das M&#65533;ller Haus", 51: "das M&#xFFFD;ller&#65533;x Haus", 52: "das M�ller Haus", 53: "ganz &#xfffd; allein"}
+    docs = texts(spark, clean + list(odd.items()) + [(60, "das M&#252;ller &amp; Haus &#8211;")])
+    g = encoding.garbled_tokens(docs)
+    assert {r["doc_id"] for r in g.select("doc_id").distinct().collect()} == set(odd)
+    back = {r["doc_id"]: (r["text"], r["n_lost"]) for r in encoding.restored(docs, g).collect()}
+    assert back[50] == back[52] == ("das Müller Haus", 0)
+    assert back[51] == ("das M�ller�x Haus", 1) and back[53] == ("ganz � allein", 1)
