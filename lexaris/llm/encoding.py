@@ -12,7 +12,9 @@ vocabulary with their document counts, so all the work below grows with the voca
    commoner twin under it; a sign counts as garbled under it if most words with the sign
    have such a twin.
 3. *Application.* The transformations and signs learned are applied to the remaining
-   words, which have no twin of their own, and texts are rebuilt from restored words.
+   words, which have no twin of their own, and texts are rebuilt from restored words. A
+   word wholly beyond ASCII, as Cyrillic ones are, counts if all its signs are learned, or
+   if most such words of its document have a twin under the transformation.
 
 Text stored as UTF-8 and read in another encoding shows by itself, as hardly any proper
 word happens to be well-formed UTF-8 in that encoding; replacement characters always
@@ -164,13 +166,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for chain, fixed in candidates(word):
                 if _shouted(plain, fixed):
                     continue
-                out.append((word, df, chain, fixed, firm, signs, beside, [s for s in set(fixed) if s > "\x7f"]))
-        yield pd.DataFrame(out, columns=["word", "df", "chain", "fixed", "firm", "signs", "beside", "new_signs"])
+                new = [s for s in set(fixed) if s > "\x7f"]
+                # wholly of signs beyond ASCII, as Cyrillic is
+                whole = not letters[0] and sum(not s.isascii() and s.isalpha() for s in fixed) >= 3
+                out.append((word, df, chain, fixed, firm, signs, beside, whole, new))
+        yield pd.DataFrame(out, columns=["word", "df", "chain", "fixed", "firm", "signs", "beside", "whole", "new_signs"])
 
 
 _SCHEMA = (
     "word string, df long, chain string, fixed string, firm boolean, signs array<string>, beside boolean, "
-    "new_signs array<string>"
+    "whole boolean, new_signs array<string>"
 )
 
 
@@ -202,19 +207,23 @@ def vocabulary(found: DataFrame) -> DataFrame:
     return words.where(~referring).withColumn("plain", F.col("word")).unionByName(resolved)
 
 
-def learn(vocab: DataFrame) -> DataFrame:
-    """(word, fixed, chain): what each garbled word was, by twins and by learned transformations.
-
-    ``fixed`` still holds U+FFFD where the sign cannot be told. Empty without garbled words.
-    """
+def scored(vocab: DataFrame) -> DataFrame:
+    """The candidates of all words without replacement characters, and whether a commoner word is their twin."""
     tasks = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cand = cut(vocab.where(~F.contains("plain", F.lit("�"))).select("word", "df").repartition(tasks).mapInPandas(_candidates, _SCHEMA), "candidates")
+    cand = vocab.where(~F.contains("plain", F.lit("�"))).select("word", "df").repartition(tasks)
+    cand = cut(cand.mapInPandas(_candidates, _SCHEMA), "candidates")
     skeleton = lambda c: F.regexp_replace(c, NOT_ASCII, "")
     twins = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("twin_df"), skeleton(F.col("word")).alias("ascii"))
     cand = cand.withColumn("ascii", skeleton(F.col("fixed"))).join(twins, ["ascii", "fixed"], "left").drop("ascii")
     utf8 = F.startswith("chain", F.lit("utf-8>"))
-    cand = cut(cand.withColumn("utf8", utf8).withColumn("twin", F.coalesce(F.col("twin_df") > F.col("df"), F.lit(False))), "twins")
+    return cut(cand.withColumn("utf8", utf8).withColumn("twin", F.coalesce(F.col("twin_df") > F.col("df"), F.lit(False))), "twins")
+
+
+def learn(vocab: DataFrame, cand: DataFrame) -> DataFrame:
+    """(word, fixed, chain): what each garbled word was, by twins and by learned transformations.
 
+    ``fixed`` still holds U+FFFD where the sign cannot be told. Empty without garbled words.
+    """
     seen = cand.where(F.col("twin") & F.col("firm")).groupBy("chain").agg(F.count(F.lit(1)).alias("support"))
     # signs by transformation: how many words have them, how often, and how much of it in words with a twin
     words_with = vocab.select(F.explode(F.array_distinct(F.split("word", ""))).alias("sign"), "df")
@@ -231,7 +240,7 @@ def learn(vocab: DataFrame) -> DataFrame:
     all_used = cand.where("utf8").select(*keys, F.explode("new_signs").alias("sign")).join(used, "sign", "left_anti")
     strange = all_used.select(*keys).distinct()
     unlearned = (
-        cand.where("not utf8 and not twin and beside")
+        cand.where("not utf8 and not twin and (beside or whole)")
         .select(*keys, F.explode("signs").alias("sign"))
         .join(learned.select("chain", "sign"), ["chain", "sign"], "left_anti")
         .select(*keys)
@@ -241,7 +250,7 @@ def learn(vocab: DataFrame) -> DataFrame:
     # a twin, or only signs that are in use
     by_utf8 = by_utf8.unionByName(cand.where("utf8 and twin").join(strange, keys, "left_semi"))
     by_twin = cand.where("not utf8 and twin and firm")
-    by_sign = cand.where("not utf8 and not twin and beside").join(unlearned, keys, "left_anti")
+    by_sign = cand.where("not utf8 and not twin and (beside or whole)").join(unlearned, keys, "left_anti")
     kept = by_utf8.unionByName(by_twin).unionByName(by_sign).join(seen, "chain", "left")
     kept = kept.withColumn("support", F.coalesce("support", F.lit(0)))
     kept = kept.where(F.col("utf8") | (F.col("support") >= MIN_WORDS))
@@ -251,6 +260,27 @@ def learn(vocab: DataFrame) -> DataFrame:
     return best.select("word", F.col("b.fixed").alias("fixed"), F.col("b.chain").alias("chain"))
 
 
+def by_document(found: DataFrame, cand: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, token, word, fixed, chain): words wholly beyond ASCII that their document tells to be garbled.
+
+    A transformation holds for a document if MIN_WORDS such words of it at least, and
+    MIN_SHARE of all such words, are restored by a twin under it; then it holds for
+    those of the document that are not known otherwise.
+    """
+    whole = cand.where("whole and firm and not utf8")
+    words = found.select("doc_id", "word").distinct()
+    proved = whole.where("twin").join(known.select("word", "chain"), ["word", "chain"], "left_semi").select("word", "chain")
+    support = words.join(proved, "word").groupBy("doc_id", "chain").agg(F.count(F.lit(1)).alias("support"))
+    support = cut(support.where(F.col("support") >= MIN_WORDS), "support")
+    all_ = words.join(support.select("doc_id").distinct(), "doc_id", "left_semi")
+    all_ = all_.join(whole.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("all"))
+    holds = support.join(all_, "doc_id").where(F.col("support") >= MIN_SHARE * F.col("all")).drop("all")
+    rest = found.join(holds, "doc_id").join(known.select("word"), "word", "left_anti")
+    rest = rest.join(whole.where("not twin").select("word", "chain", "fixed"), ["word", "chain"])
+    best = rest.groupBy("doc_id", "token", "word").agg(F.max(F.struct("support", "chain", "fixed")).alias("b"))
+    return best.select("doc_id", "token", "word", F.col("b.fixed").alias("fixed"), F.col("b.chain").alias("chain"))
+
+
 def replaced(vocab: DataFrame) -> DataFrame:
     """(word, fixed, chain) of words with replacement characters or references to them, restored by
     the commonest word with the same letters around any one sign each; only resolved where there is none."""
@@ -270,8 +300,10 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     """
     found = cut(tokens(documents), "tokens")
     vocab = cut(vocabulary(found), "vocabulary")
-    known = cut(learn(vocab).unionByName(replaced(vocab)), "garbled")
-    return found.join(known, "word").select("doc_id", "token", "word", "fixed", "chain").distinct()
+    cand = scored(vocab)
+    known = cut(learn(vocab, cand).unionByName(replaced(vocab)), "garbled")
+    out = found.join(known, "word").select("doc_id", "token", "word", "fixed", "chain")
+    return out.unionByName(by_document(found, cand, known)).distinct()
 
 
 def restored(documents: DataFrame, garbled: DataFrame) -> DataFrame:

@@ -412,3 +412,23 @@ def test_references_to_the_replacement_character(spark):
     back = {r["doc_id"]: (r["text"], r["n_lost"]) for r in encoding.restored(docs, g).collect()}
     assert back[50] == back[52] == ("das Müller Haus", 0)
     assert back[51] == ("das M�ller�x Haus", 1) and back[53] == ("ganz � allein", 1)
+
+
+RUSSIAN = "перевод старого романа перенесли через старую дорогу рано утром товарищи говорили дорогому доктору"
+
+
+def test_rare_words_wholly_beyond_ascii(spark):
+    clean = [(i, RUSSIAN) for i in range(30)]
+    bad = broken(RUSSIAN, "cp1251", "cp1252")
+    rare = broken("передано", "cp1251", "cp1252")
+    # all signs learned: one rare word is enough
+    back = {r["doc_id"]: r["text"] for r in restored(texts(spark, clean + [(50, bad), (51, rare)]))}
+    assert back == {50: RUSSIAN, 51: "передано"}
+    # the sign of one letter is mostly a proper French one: the other words of the document tell
+    french = [(100 + i, "là déjà voilà") for i in range(40)]
+    back = {r["doc_id"]: r["text"] for r in restored(texts(spark, clean + french + [(50, f"{bad} {rare}"), (51, rare)]))}
+    assert back == {50: f"{RUSSIAN} передано"}
+
+
+def restored(docs):
+    return encoding.restored(docs, encoding.garbled_tokens(docs)).collect()
