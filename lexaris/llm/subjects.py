@@ -11,6 +11,7 @@ the others take every subject that holds a quarter of their subject-bearing lemm
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import defaultdict
 
@@ -21,13 +22,18 @@ from pyspark.sql import Window as W
 from lexaris.session import cut
 from lexaris.tables import categories, counted, memberships
 
+log = logging.getLogger(__name__)
+
 #: Share of a lemma's documents that must agree on the subject.
 PURITY = 0.7
 #: Greatest share of chance among the lemmas verified with the same evidence.
 CHANCE = 0.3
 #: Documents from which agreement cannot come about by chance any more.
 PLENTY = 40
-ROUNDS = 3
+#: Rounds at most, if labels have not stopped changing before.
+ROUNDS = 12
+#: Change of a subject's share in a lemma up to which the lemma counts as settled.
+STILL = 0.05
 MIN_F = 2.0
 MIN_SHARE = 0.25
 
@@ -77,6 +83,11 @@ def _evidence(edges: DataFrame, labels: DataFrame, before: DataFrame | None) ->
     return out.groupBy("term", "subject").agg(F.sum("w").alias("w"))
 
 
+def _shares(evidence: DataFrame) -> DataFrame:
+    share = F.col("w") / F.sum("w").over(W.partitionBy("term"))  # a row per subject
+    return evidence.select("term", "subject", share.alias("p"))
+
+
 def _summary(evidence: DataFrame) -> DataFrame:
     top = F.max(F.struct("w", "subject")).alias("t")
     out = evidence.groupBy("term").agg(F.sum("w").alias("all"), top)
@@ -109,25 +120,41 @@ def propagate(signatures: DataFrame, labelled: DataFrame, rounds: int = ROUNDS)
 
     ``signatures`` is (doc_id, term, f), ``labelled`` (doc_id, subject) the seeds. Without
     seeds or signatures both are empty. Ties are no matter: a document keeps all subjects
-    that pass.
+    that pass. Ends when no label changes and the lemmas are
+    settled, else after ``rounds`` rounds with a
+    warning that says how many still do.
     """
     signatures, labelled = cut(signatures, "signatures"), cut(labelled, "seeds")
     # a fixed list of subjects
     counts = [r["n"] for r in labelled.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()]
     shares = [n / sum(counts) for n in counts]
     evidence = cut(_evidence(signatures, labelled, None), "evidence")
-    # lemmas that no subject has a third of can never be verified and need no further rounds
-    hopeful = _summary(evidence).where("top >= 0.33 * all").select("term")
-    unseen = signatures.join(evidence.select("term").distinct(), "term", "left_anti").select("term").distinct()
+    # lemmas of which too few labelled documents have any one subject, counted whole, need no further rounds
+    having = signatures.join(labelled, "doc_id").groupBy("term", "subject").agg(F.count(F.lit(1)).alias("have"))
+    having = having.groupBy("term").agg(F.max("have").alias("have"))
+    seen = signatures.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")
+    seen = cut(seen.groupBy("term").agg(F.count(F.lit(1)).alias("all")).join(having, "term"), "seen")
+    hopeful = seen.where("have >= 0.33 * all").select("term")
+    unseen = signatures.join(seen.select("term"), "term", "left_anti").select("term").distinct()
     edges = cut(signatures.join(hopeful.unionByName(unseen), "term", "left_semi"), "edges")
     found = words = None
     labels = labelled
-    for _ in range(rounds):
-        evidence = cut(_evidence(edges, labels, evidence), "evidence")
+    for turn in range(rounds):
+        earlier, evidence = evidence, cut(_evidence(edges, labels, evidence), "evidence")
         words = cut(lexicon(evidence, shares), "lexicon")
         found = cut(document_subjects(edges, words), "subjects")
         fresh = found.join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
-        labels = cut(labelled.unionByName(fresh), "labels")
+        before, labels = labels, cut(labelled.unionByName(fresh), "labels")
+        changed = labels.join(before, ["doc_id", "subject"], "left_anti").count()
+        changed += before.join(labels, ["doc_id", "subject"], "left_anti").count()
+        # labels may rest for a round while the lemmas of documents with many subjects still sharpen
+        moved = _shares(evidence).join(_shares(earlier).withColumnRenamed("p", "q"), ["term", "subject"], "left")
+        moving = moved.where(F.abs(F.col("p") - F.coalesce("q", F.lit(0.0))) > STILL).count()
+        log.info("round %d: %d labels changed, %d lemma shares moving", turn + 1, changed, moving)
+        if not changed and not moving:
+            break
+    else:
+        log.warning("after %d rounds %d labels and %d lemma shares still changing", rounds, changed, moving)
     return found, words
 
 

@@ -227,6 +227,20 @@ def test_subjects_propagate(spark):
     assert {r["doc_id"] for r in got.where("seed").collect()} == {m[0] for m in mem}
 
 
+def test_subjects_of_seeds_with_many(spark):
+    rng = random.Random(12)
+    names = [f"s{i}" for i in range(10)]
+    tf, labelled = [], []
+    for d in range(300):
+        for s in rng.sample(names, 5):  # five subjects each: a pure lemma starts at a fifth
+            labelled.append((d, s))
+            tf += [(d, f"{s}-{i}", 2.0) for i in rng.sample(range(4), 3)]
+    tf += [(1000 + j, f"{s}-{i}", 2.0) for j, s in enumerate(names) for i in range(4)]
+    seeds = spark.createDataFrame(labelled, "doc_id long, subject string")
+    found, _ = subjects.propagate(spark.createDataFrame(tf, "doc_id long, term string, f double"), seeds)
+    assert rows(found.where("doc_id >= 1000").select("doc_id", "subject")) == [(1000 + j, s) for j, s in enumerate(names)]
+
+
 def test_subjects_empty(spark):
     cat2id = spark.createDataFrame([("a", 1, "law", "")], CAT2ID)
     none = spark.createDataFrame([], CATS)
