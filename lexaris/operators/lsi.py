@@ -11,91 +11,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaris.functions.vectors import DISTANCES, scale, total
+from lexaris.session import cut
 
-#: Entries of a dense terms x rank matrix that the driver and each task may hold, 8 bytes each.
-MOST_ENTRIES = 125_000_000
 #: Singular values below this share of the first are dropped.
 LEAST = 1e-9
-_SLICE = 512
+#: Directions of a basis below this share of its longest are dropped.
+_FLAT = 1e-14
 
 
 @dataclass
 class Svd:
-    """terms[i] is the term of row i of v; x of a row r of the matrix is r v / sigma."""
+    """``factors`` is (term, p), p the row of V / sigma of a term; x of a row r of the matrix is r V / sigma."""
 
-    terms: list[str]
-    v: np.ndarray
+    factors: DataFrame
     sigma: np.ndarray
 
-    def factors(self, spark) -> DataFrame:
-        """(term, p): the row of V / sigma of each term."""
-        rows = pd.DataFrame({"term": self.terms, "p": list(self.v / self.sigma)})
-        return spark.createDataFrame(rows, "term string, p array<double>")
 
+def _random_basis(terms: DataFrame, width: int, seed: int) -> DataFrame:
+    """(term, x): normal deviates drawn from hashes of the term, the same however the terms are spread."""
 
-def _packed(cells: DataFrame, row: str, terms: DataFrame) -> DataFrame:
-    """One row per row of the matrix with its term numbers and values; a row is as long as its document."""
-    numbered = cells.join(terms, "term")
-    out = numbered.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("tid", "v"))).alias("c"))
-    return out.select(row, F.col("c.tid").alias("tids"), F.col("c.v").alias("vals"))
+    def uniform(j: int, salt: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64("term", F.lit(seed), F.lit(j), F.lit(salt)), 11) + 0.5) / float(1 << 53)
+
+    deviates = [F.sqrt(-2 * F.log(uniform(j, 0))) * F.cos(2 * np.pi * uniform(j, 1)) for j in range(width)]
+    return terms.select("term", F.array(*deviates).alias("x"))
+
+
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
+    """The width x width matrix of products of the columns of ``rows`` (x)."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                out += x.T @ x
+        yield pd.DataFrame({"m": [out.tobytes()]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(m, dtype=float) for m in group["m"])
+        return pd.DataFrame({"m": [np.asarray(total, dtype=float).tobytes()]})
+
+    parts = rows.select("x").mapInPandas(part, "m binary")
+    parts = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32))).applyInPandas(added, "m binary").collect()
+    return sum((np.frombuffer(p["m"], dtype=float) for p in parts), np.zeros(width * width)).reshape(width, width)
+
+
+def _times(rows: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """(key, x): every row times the small matrix ``m``."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy()) @ m if len(batch) else []
+            yield pd.DataFrame({key: batch[key], "x": list(x)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "x").mapInPandas(part, f"{key} {kind}, x array<double>")
+
+
+def _upright(rows: DataFrame, width: int) -> np.ndarray:
+    """The matrix that makes the columns of ``rows`` orthonormal; directions of no length are dropped."""
+    square, turn = np.linalg.eigh(_gram(rows, width))
+    keep = square > _FLAT * max(square[-1], 1e-300)
+    return turn[:, keep] / np.sqrt(square[keep])
 
 
 def svd(cells: DataFrame, row: str, rank: int, power: int = 3, oversample: int = 10, seed: int = 0) -> Svd:
     """Truncated SVD of the matrix with cells (``row``, term, v), by randomised subspace iteration.
 
     Each pass multiplies a basis of terms x (rank + oversample) by the matrix and its
-    transpose, row by row on the executors; only matrices of that width reach the driver
-    (Halko, Martinsson and Tropp 2011). The number of terms times the width is checked.
+    transpose (Halko, Martinsson and Tropp 2011). Bases and products are tables with a
+    row per term or document, made by a join and sums; only matrices of that width on
+    both sides reach the driver, so neither terms nor documents are bounded. ``cells``
+    is read several times and should be a written table.
     """
-    spark = cells.sparkSession
-    terms = [r["term"] for r in cells.select("term").distinct().orderBy("term").collect()]
-    width = min(rank + oversample, len(terms))
-    if len(terms) * width > MOST_ENTRIES:
-        raise ValueError(f"{len(terms)} terms x {width}: raise minFreq and minDocFreq or lower the rank")
-    numbers = spark.createDataFrame(pd.DataFrame({"term": terms, "tid": np.arange(len(terms))}), "term string, tid long")
-    rows = _packed(cells, row, numbers).persist()
-
-    def pass_over(basis: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(basis)
-        n_terms, k = basis.shape
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            out = np.zeros((k, k) if gram else (n_terms, k))
-            for batch in batches:
-                for tids, vals in zip(batch["tids"], batch["vals"], strict=True):
-                    y = vals @ b[tids]
-                    if gram:
-                        out += np.outer(y, y)
-                    else:
-                        out[tids] += vals[:, None] * y
-            for a in range(0, len(out), _SLICE):
-                piece = out[a : a + _SLICE]
-                if piece.any():
-                    yield pd.DataFrame({"at": [a], "m": [piece.astype("<f8").tobytes()]})
-
-        def added(group: pd.DataFrame) -> pd.DataFrame:
-            m = sum(np.frombuffer(x, "<f8") for x in group["m"])
-            return pd.DataFrame({"at": [group["at"].iloc[0]], "m": [np.asarray(m).tobytes()]})
-
-        pieces = rows.select("tids", "vals").mapInPandas(part, "at long, m binary")
-        pieces = pieces.groupBy("at").applyInPandas(added, "at long, m binary").collect()
-        out = np.zeros((k, k) if gram else (n_terms, k))
-        for p in pieces:
-            m = np.frombuffer(p["m"], "<f8").reshape(-1, k)
-            out[p["at"] : p["at"] + len(m)] = m
-        shared.destroy()
-        return out
-
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), width)))[0]
-    for _ in range(power):
-        basis = np.linalg.qr(pass_over(basis, gram=False))[0]
-    square, turn = np.linalg.eigh(pass_over(basis, gram=True))
+    terms = cut(cells.select("term").distinct(), "terms")
+    width = min(rank + oversample, terms.count())
+    if not width:
+        return Svd(terms.select("term", F.array().cast("array<double>").alias("p")), np.zeros(0))
+    basis = cut(_random_basis(terms, width, seed), "basis")
+    turn = _upright(basis, width)
+    for half in range(2 * power + 1):
+        near, far = ("term", row) if half % 2 == 0 else (row, "term")
+        last, basis = basis, _times(basis, near, turn)
+        kept = turn.shape[1]
+        product = cut(vector_sum(cells.join(basis, near), far, scale(F.col("x"), F.col("v")), kept), "product")
+        if half < 2 * power:
+            basis, turn = product, _upright(product, kept)
+    square, directions = np.linalg.eigh(_gram(product, kept))
     order = np.argsort(-square)[:rank]
     sigma = np.sqrt(np.maximum(square[order], 0))
-    keep = sigma > LEAST * max(sigma[0], 1e-300) if len(sigma) else sigma > 0
-    rows.unpersist()
-    return Svd(terms, basis @ turn[:, order][:, keep], sigma[keep])
+    keep = sigma > LEAST * max(sigma[0], 1e-300)
+    sigma = sigma[keep]
+    v = turn @ directions[:, order][:, keep] / sigma
+    return Svd(cut(_times(last, "term", v).withColumnRenamed("x", "p"), "factors"), sigma)
 
 
 def vector_sum(rows: DataFrame, key: str, x: Column, size: int) -> DataFrame:

@@ -20,8 +20,7 @@ def _model(spark: SparkSession, d: str):
     tw = cut(matrix.weights(cells, "doc_id", "entropy"), "tw")
     cells = cut(matrix.weighted(cells, tw, 1.0), "tdm")
     s = lsi.svd(cells, "doc_id", RANK)
-    factors = cut(s.factors(spark), "factors")
-    return cells, tw, s, factors, cut(lsi.project(cells, "doc_id", factors, len(s.sigma)), "xdm")
+    return cells, tw, s, s.factors, cut(lsi.project(cells, "doc_id", s.factors, len(s.sigma)), "xdm")
 
 
 def lsi_singular_values(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +38,7 @@ def lsi_bycat(spark: SparkSession, d: str) -> DataFrame:
     """The model whose rows are categories."""
     cells = cut(c.tcm(spark, d).select("term", "cat_id", "v"), "tcm")
     s = lsi.svd(cells, "cat_id", RANK)
-    factors = cut(s.factors(spark), "factors")
+    factors = s.factors
     xcm = cut(lsi.project(cells, "cat_id", factors, len(s.sigma)), "xcm")
     docs = matrix.log_transform(c.tdm0(spark, d), c.SMOOTH)
     return classify.ranked(lsi.distances(lsi.project(docs, "doc_id", factors, len(s.sigma)), xcm)).select("doc_id", "cat_id", "d", "deg")

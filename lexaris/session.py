@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
@@ -35,24 +36,36 @@ def local_session(cores: int | str = 8, app: str = "lexaris", shuffle: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a single machine) is an own
-    temporary folder used.
+    Only a session on one machine may leave it unset; it gets a temporary folder of its
+    own. On a cluster a folder of one machine would lose rows, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lexaris-"))
     return "file://" + _OWN_DIR[0]
 
 
 def _drop(spark: SparkSession, folder: str) -> None:
+    from py4j.protocol import Py4JError, Py4JNetworkError
+
     try:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; the folder belongs to the cluster's clean-up then
-        pass
+    except (Py4JError, Py4JNetworkError, AttributeError, OSError):
+        # the session has ended; the folder belongs to the clean-up of the shared storage then
+        logging.getLogger(__name__).info("could not remove %s", folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` has written in this session; results that still read them become unusable."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _drop(spark, folder)
 
 
 def cut(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
@@ -60,13 +73,13 @@ def cut(df: DataFrame, name: str = "step", partition_by: list[str] | None = None
 
     The plan behind the result is a plain scan: an executor that is lost costs a
     re-read, not a recomputation, and repeated passes prune columns. The folder goes
-    away when the Python process ends.
+    away when the Python process ends, or earlier by ``release``.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_dir(spark)}/lexaris-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_drop, spark, _FOLDERS[app])
+        atexit.register(release, spark)
     path = f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("overwrite")
     if partition_by:

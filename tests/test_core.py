@@ -59,15 +59,18 @@ def test_svd_identities(spark):
     cells = spark.createDataFrame([(d, f"t{t}", float(a[t, d])) for t in range(7) for d in range(5)], "doc_id long, term string, v double")
     s = lsi.svd(cells, "doc_id", 5, power=6)
     assert s.sigma == pytest.approx(np.linalg.svd(a)[1][: len(s.sigma)], rel=1e-6)
-    x = {r["doc_id"]: np.array(r["x"]) for r in lsi.project(cells, "doc_id", s.factors(spark), len(s.sigma)).collect()}
+    x = {r["doc_id"]: np.array(r["x"]) for r in lsi.project(cells, "doc_id", s.factors, len(s.sigma)).collect()}
     u = np.stack([x[d] for d in range(5)])
-    assert u @ np.diag(s.sigma) @ s.v.T == pytest.approx(a.T, rel=1e-6)
+    p = {r["term"]: np.array(r["p"]) for r in s.factors.collect()}
+    v = np.stack([p[f"t{t}"] for t in range(7)]) * s.sigma
+    assert v.T @ v == pytest.approx(np.eye(len(s.sigma)), abs=1e-6)
+    assert u @ np.diag(s.sigma) @ v.T == pytest.approx(a.T, rel=1e-6)
     tw = spark.createDataFrame([(f"t{t}", 1.0) for t in range(7)], "term string, tw double")
     part = cells.where("not (doc_id = 0 and term = 't3')")
-    smooth = {r["doc_id"]: np.array(r["x"]) for r in lsi.project_smoothed(part, "doc_id", s.factors(spark), tw, 1.5, len(s.sigma)).collect()}
+    smooth = {r["doc_id"]: np.array(r["x"]) for r in lsi.project_smoothed(part, "doc_id", s.factors, tw, 1.5, len(s.sigma)).collect()}
     dense = a[:, 0].copy()
     dense[3] = math.log(1.5)
-    assert smooth[0] == pytest.approx(dense @ s.v / s.sigma, rel=1e-6)
+    assert smooth[0] == pytest.approx(dense @ v / s.sigma, rel=1e-6)
 
 
 def test_raw_distances_of_empty_sides(spark):
