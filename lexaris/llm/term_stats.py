@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaris.functions.text import clean_term
 from lexaris.session import cut
-from lexaris.tables import counted
+from lexaris.tables import latest, usable
 
 CHUNK_BITS = 16
 #: Members from which the bitmap is the shorter form.
@@ -85,15 +86,20 @@ def vertical(tf: DataFrame) -> DataFrame:
 
     Null, blank, zero, negative and infinite values take no part; terms are trimmed and
     composed; repeated and late rows count once, the latest holds; an empty table gives
-    an empty result.
+    an empty result. Versions of a row can lie anywhere in the table, so nothing can be
+    counted before they meet; they do so under the container's key, and the one shuffle
+    serves both the choice of the latest and the building of containers.
     """
-    rows = counted(tf).select(
-        "term",
+    rows = tf.where(F.col("doc_id").isNotNull()).select(
+        clean_term(F.col("term")).alias("term"),
         F.shiftright("doc_id", CHUNK_BITS).alias("chunk"),
         F.col("doc_id").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int").alias("offset"),
-        "f",
+        F.col("f").cast("double").alias("f"),
+        "seen_at",
     )
-    rows = rows.repartition("term", "chunk").sortWithinPartitions("term", "chunk", "offset")
+    rows = rows.where(F.col("term").isNotNull()).repartition("term", "chunk")
+    rows = latest(rows, ["term", "chunk", "offset"], ["f"]).where(usable(F.col("f")) & (F.col("f") > 0))
+    rows = rows.sortWithinPartitions("term", "chunk", "offset")
     return rows.mapInArrow(_containers, "term string, chunk long, bits binary, gf double")
 
 
