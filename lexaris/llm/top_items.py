@@ -96,7 +96,8 @@ def cutoffs(rows: DataFrame, group: list[str], code: list[tuple[str, Column]], n
     """(group, _cut): each group's n-th code, its last one where it has no more than n rows.
 
     ``n`` may be a column of ``rows`` that is constant within a group. ``rows`` is read
-    once a round and should be a written table.
+    for the ends, the first and the second round and should be a written table; later
+    rounds read the rows of the open intervals only.
     """
     kinds = [k for k, _ in code]
     key = F.struct(*[c.alias(f"c{i}") for i, (_, c) in enumerate(code)])
@@ -114,8 +115,15 @@ def cutoffs(rows: DataFrame, group: list[str], code: list[tuple[str, Column]], n
     state = cut(_steps(state, group, kinds), "state")
     done.append(state.where("_level is null").select(*group, F.col("_lo").alias("_cut")))
     state = state.where("_level is not null")
+    inner = keyed.drop("_n")
+    first = True
     while not state.isEmpty():
-        inside = keyed.drop("_n").join(state, group).where("_key >= _lo and _key <= _hi")
+        inside = inner.join(state, group).where("_key >= _lo and _key <= _hi")
+        if not first:
+            # only rows in the open intervals are read again, a fraction of 1 / MIDPOINTS of those before
+            inner = cut(inside.select(*group, "_key"), "inside")
+            inside = inner.join(state, group)
+        first = False
         number = F.lit(None).cast("double")
         for i, kind in enumerate(kinds):
             piece = F.col(f"_key.c{i}")
