@@ -2,7 +2,8 @@
 
 Vectors are coded as sums of one full-dimensional codeword from each of several residual
 codebooks; the encoder keeps a beam of the best partial sums. The first codebook also
-splits the collection into lists. A query looks into the lists of its nearest first
+splits the collection into lists, and where there must be more lists than words can be
+fitted on the sample, groups of words of the second codebook split these further. A query looks into the lists of its nearest
 codewords, scores their members by looking its products with all codewords up in a table
 and dividing by the members' stored norms, and ranks the best of them exactly.
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,6 +29,8 @@ from lexaris.session import cut
 from lexaris.tables import latest
 
 DIM = 64
+#: Members of a class that are joined under one key.
+SPREAD = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,7 @@ class Settings:
     rerank: int = 64
     block: int = 1024
     rounds: int = 8
+    rows_a_word: int = 4
     seed: int = 7
 
 
@@ -97,43 +101,89 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> np.ndarray:
     return codes[:, 0, :]
 
 
-def fit(x: np.ndarray, lists: int, s: Settings) -> list[np.ndarray]:
-    """Residual codebooks: the first has ``lists`` words, the others ``s.words``."""
+@dataclass(frozen=True)
+class Index:
+    """Codebooks, and to which part of its first word's list each word of the second book leads."""
+
+    books: list[np.ndarray]
+    part: np.ndarray
+    parts: int
+
+    @property
+    def lists(self) -> int:
+        return len(self.books[0]) * self.parts
+
+    def list_of(self, codes: np.ndarray) -> np.ndarray:
+        return codes[:, 0] * self.parts + (self.part[codes[:, 1]] if self.parts > 1 else 0)
+
+    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The lists that each row of ``x`` looks into: those of its nearest first words, or their nearest parts."""
+        first, probes = self.books[0], min(probes, self.lists)
+        near = x @ first.T - 0.5 * (first**2).sum(1)
+        heads = np.argpartition(-near, min(probes, len(first)) - 1, axis=1)[:, :probes]
+        if self.parts == 1:
+            return heads
+        second = self.books[1]
+        score = np.full((len(x), heads.shape[1], self.parts), -np.inf)
+        for i in range(heads.shape[1]):
+            rest = x - first[heads[:, i]]
+            each = rest @ second.T - 0.5 * (second**2).sum(1) - 0.5 * (rest**2).sum(1)[:, None]
+            for part in range(self.parts):
+                score[:, i, part] = each[:, self.part == part].max(axis=1)
+        score = score.reshape(len(x), -1)
+        best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+        return np.take_along_axis(heads, best // self.parts, 1) * self.parts + best % self.parts
+
+
+def fit(x: np.ndarray, lists: int, s: Settings) -> Index:
+    """Residual codebooks for about ``lists`` lists, fitted on the rows of ``x``.
+
+    A word is fitted on ``rows_a_word`` rows on average; where that makes too few first words, the
+    second book's words are grouped into as many parts as are wanting.
+    """
     rng = np.random.default_rng(s.seed)
+    most = max(1, len(x) // s.rows_a_word)
+    first = max(1, min(lists, most))
+    parts = min(-(-lists // first), most)
     books: list[np.ndarray] = []
     residual = x
     for b in range(s.books):
-        books.append(_kmeans(residual, lists if b == 0 else s.words, s.rounds, rng))
+        n = first if b == 0 else max(s.words, parts) if b == 1 else s.words
+        books.append(_kmeans(residual, n, s.rounds, rng))
         codes = encode(x, books, s.beam)
         residual = x - sum(book[codes[:, i]] for i, book in enumerate(books))
-    return books
+    parts = min(parts, len(books[1]) if len(books) > 1 else 1)
+    part = np.zeros(len(books[1]) if len(books) > 1 else 1, dtype=np.int64)
+    if parts > 1:
+        centres = _kmeans(books[1], parts, s.rounds, rng)
+        part = np.argmax(books[1] @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
+        used, part = np.unique(part, return_inverse=True)
+        parts = len(used)
+    return Index(books, part, parts)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _packed(books: list[np.ndarray], s: Settings):
+def _packed(index: Index, s: Settings):
     """Codes vectors: their list, codes, the norm of what the codes stand for, and the lists they look into."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if rows.empty:
                 continue
-            x = _matrix(rows["x"])
+            x, books = _matrix(rows["x"]), index.books
             codes = encode(x, books, s.beam)
             norms = np.linalg.norm(sum(book[codes[:, i]] for i, book in enumerate(books)), axis=1)
-            near = x @ books[0].T - 0.5 * (books[0] ** 2).sum(1)
-            probes = min(s.probes, near.shape[1])
-            probed = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
             yield pd.DataFrame(
                 {
                     "id": rows["id"].to_numpy(),
                     "x": [v.astype("<f8").tobytes() for v in x],
-                    "list": codes[:, 0],
+                    "list": index.list_of(codes),
                     "codes": [c.astype("<i4").tobytes() for c in codes],
                     "norm": norms,
-                    "probed": list(probed),
+                    "probed": list(index.probed(x, s.probes)),
                 }
             )
 
@@ -184,10 +234,11 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     """
     spark = vectors.sparkSession
     answer = "id long, other long, sim double, rank int"
-    # one direction, one class
-    key = F.xxhash64(F.transform("x", lambda v: F.round(v, 10) + 0.0))
-    rows = cut(vectors.select("id", "x", key.alias("class")), "vectors")
-    members = cut(_smallest(rows, k + 1), "members")
+    # one direction, one class; the hash only sorts, the direction itself tells classes apart
+    rows = vectors.select("id", "x", F.xxhash64(_direction()).alias("class"))
+    rows = cut(rows, "vectors")
+    rest = cut(_beyond(rows, k + 1), "rest")
+    members = cut(rows.join(rest.select("id"), "id", "left_anti"), "members")
     total = members.count()
     if not total:
         return spark.createDataFrame([], answer)
@@ -196,19 +247,20 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     sample = members.where(pick).select("id", "x").orderBy(F.xxhash64("id", F.lit(s.seed))).limit(s.sample).toPandas()
     if sample.empty:
         sample = members.orderBy("id").limit(s.sample).select("id", "x").toPandas()
-    lists = int(max(1, min(4096, len(sample) // 4, round(2 * total**0.5))))
-    books = fit(_matrix(sample["x"]), lists, s)
+    index = fit(_matrix(sample["x"]), max(1, round(2 * total**0.5)), s)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = members.select("id", "x").repartition(tasks).mapInPandas(
-        _packed(books, s), "id long, x binary, list int, codes binary, norm double, probed array<int>"
+        _packed(index, s), "id long, x binary, list int, codes binary, norm double, probed array<int>"
     )
     coded = cut(coded, "coded")
     # blocks of each list's members and of the queries that look into it, so that no task gets a long list whole
     asked = coded.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("nq"))
     sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("nm")).join(asked, "list")
     sizes = sizes.select("list", F.ceil(F.col("nm") / s.block).alias("mb"), F.ceil(F.col("nq") / (4 * s.block)).alias("qb"))
-    sizes = F.broadcast(cut(sizes, "sizes"))  # one row a list, at most 4096
+    sizes = cut(sizes, "sizes")
+    if index.lists <= 100_000:  # a row of 20 bytes each
+        sizes = F.broadcast(sizes)
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     data = coded.join(sizes, "list").select(
         "list", F.pmod(F.xxhash64("id"), "mb").alias("m"), numbers("qb").alias("q"), "id", "x", "codes", "norm"
@@ -218,22 +270,49 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     )
     block = ["list", "m", "q"]
     found = asking.groupBy(*block).cogroup(data.groupBy(*block))
-    found = found.applyInPandas(_search(books, k, s), "id long, other long, sim double")
+    found = found.applyInPandas(_search(index.books, k, s), "id long, other long, sim double")
     best = _ranked(found, k)
     best = cut(best, "best")
 
-    # further members of a class: its smallest ids at 1, as ties go to them
-    rest = rows.join(members.select("id"), "id", "left_anti").select("id", "class")
-    heads = members.withColumn("n", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("n") <= k)
-    shared = rest.join(heads.select("class", F.col("id").alias("other"), F.col("n").alias("rank")), "class")
-    return best.unionByName(shared.select("id", "other", F.lit(1.0).alias("sim"), "rank"))
+    return best.unionByName(_shared(rest, members, k))
+
+
+def _direction() -> Column:
+    """What makes vectors one class: x to ten places."""
+    return F.transform("x", lambda v: F.round(v, 10) + 0.0)
+
 
+def _beyond(rows: DataFrame, n: int) -> DataFrame:
+    """(id, class, along): the members of each class beyond its ``n`` smallest ids.
 
-def _smallest(rows: DataFrame, n: int) -> DataFrame:
-    """Of each class the rows with the ``n`` smallest ids, first by salt so that no task sorts a class whole."""
-    salted = W.partitionBy("class", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
-    part = rows.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= n)
-    return part.withColumn("_n", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_n") <= n).drop("_n")
+    Most vectors have a class of their own; only those whose hash comes more than ``n``
+    times are compared by their directions. The smallest ids are found by salt first, so
+    that no task sorts a class whole.
+    """
+    often = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n).select("class")
+    often = rows.join(often, "class", "left_semi").select("id", "class", _direction().alias("along"))
+    often = cut(often, "classes")
+    salted = W.partitionBy("class", "along", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    part = often.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= n)
+    whole = W.partitionBy("class", "along").orderBy("id")
+    first = part.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= n)
+    return often.join(first.select("id"), "id", "left_anti")
+
+
+def _shared(rest: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, other, sim, rank) of the further members of a class: its smallest ids at 1, as ties go to them.
+
+    A class of any size is dealt to several keys by id.
+    """
+    salts = rest.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("salts"))
+    order = W.partitionBy("class", _direction()).orderBy("id")
+    heads = members.join(salts, "class").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    heads = heads.select("class", _direction().alias("along"), F.struct(F.col("id").alias("other"), "rank").alias("h"), "salts")
+    heads = heads.groupBy("class", "along", "salts").agg(F.collect_list("h").alias("heads"))  # k at most
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    salted = rest.join(salts, "class").withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
+    out = salted.join(heads, ["class", "along", "salt"]).select("id", F.explode("heads").alias("h"))
+    return out.select("id", "h.other", F.lit(1.0).alias("sim"), "h.rank")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
