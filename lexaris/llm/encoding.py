@@ -11,6 +11,10 @@ vocabulary with their document counts, so all the work below grows with the voca
 2. *Transformations.* A pair of encodings counts as seen here if several words have a
    commoner twin under it; a sign counts as garbled under it if most words with the sign
    have such a twin.
+   What no listed pair of encodings explains is learned from the twins alone: a word and
+   the commonest word with the same ASCII letters are aligned run by run, runs of equal
+   length sign by sign, and what one stands for the other in several words, and in most
+   of the words that have it, is a mapping (``aligned``).
 3. *Application.* The transformations and signs learned are applied to the remaining
    words, which have no twin of their own, and texts are rebuilt from restored words. A
    word wholly beyond ASCII, as Cyrillic ones are, counts if all its signs are learned, or
@@ -260,6 +264,77 @@ def learn(vocab: DataFrame, cand: DataFrame) -> DataFrame:
     return best.select("word", F.col("b.fixed").alias("fixed"), F.col("b.chain").alias("chain"))
 
 
+def _runs_of(col: str) -> Column:
+    return F.regexp_extract_all(col, F.lit(r"([^\x00-\x7F]+)"), F.lit(1))
+
+
+def _units(was: Column, now: Column) -> Column:
+    """Aligned (was, now) of two arrays of runs: whole runs, signs where two runs are equally long."""
+    pairs = F.arrays_zip(was.alias("was"), now.alias("now"))
+    signs = lambda p: F.arrays_zip(F.split(p.was, "").alias("was"), F.split(p.now, "").alias("now"))
+    even = F.flatten(F.transform(F.filter(pairs, lambda p: F.length(p.was) == F.length(p.now)), signs))
+    odd = F.filter(pairs, lambda p: F.length(p.was) != F.length(p.now))
+    return F.array_distinct(F.filter(F.concat(even, odd), lambda p: p.was != p.now))
+
+
+def mappings(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(was, now): signs and runs that stand for others, learned from twins aligned with each other.
+
+    ``words`` is (word, df, plain, p), p the plain word with its runs blotted out. The twin
+    of a word is the commonest with the same p. A mapping needs MIN_WORDS words, MIN_SHARE of
+    the words with the sign, and documents that show another one too, as a wrong decoding
+    changes more than one sign.
+    """
+    commonest = words.groupBy("p").agg(F.max(F.struct("df", "plain")).alias("t"))
+    twins = words.join(commonest, "p").where((F.col("t.df") > F.col("df")) & (F.col("t.plain") != F.col("plain")))
+    twins = twins.withColumn("twin", F.col("t.plain"))
+    units = twins.select("word", F.explode(_units(_runs_of("plain"), _runs_of("twin"))).alias("u")).select("word", "u.*")
+    units = units.groupBy("was", "now").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_WORDS)
+    runs = _runs_of("plain")
+    having = F.array_distinct(F.concat(runs, F.flatten(F.transform(runs, lambda r: F.split(r, "")))))
+    having = words.select("word", F.explode(having).alias("was"))
+    all_ = having.groupBy("was").agg(F.count(F.lit(1)).alias("all"))
+    units = units.join(all_, "was").where(F.col("n") >= MIN_SHARE * F.col("all"))
+    best = units.groupBy("was").agg(F.max(F.struct("n", "now")).alias("b")).select("was", F.col("b.now").alias("now"))
+    best = cut(best, "mappings")
+    if best.isEmpty():
+        return best
+    shown = found.join(having.join(best, "was"), "word").select("doc_id", "was").distinct()
+    several = shown.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    backed = shown.join(several, "doc_id").groupBy("was").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut(best.join(backed.select("was"), "was"), "backed-mappings")
+
+
+def aligned(found: DataFrame, vocab: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, fixed, chain): words not known otherwise of which every run has a learned mapping.
+
+    Words with fewer than two ASCII letters teach nothing, as too many share their pattern,
+    but take part in the application.
+    """
+    words = vocab.where(~F.contains("plain", F.lit("�")))
+    words = words.withColumn("p", F.regexp_replace("plain", r"[^\x00-\x7F]+", "\x01"))
+    learned = mappings(found, words.where(F.length(F.regexp_replace("p", "[^A-Za-z]", "")) >= 2))
+    rest = words.join(known.select("word"), "word", "left_anti")
+    none = known.select("word", "fixed", "chain").limit(0)
+    if learned.isEmpty():
+        return none
+    pieces = F.regexp_extract_all("plain", F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    pieces = rest.select("word", F.posexplode(pieces).alias("i", "piece"))
+    pieces = pieces.join(learned.select(F.col("was").alias("piece"), F.col("now").alias("run")), "piece", "left")
+    done = F.when(F.col("piece").rlike(r"^[\x00-\x7F]"), F.col("piece")).otherwise(F.col("run"))
+    pieces = pieces.select("word", "i", F.posexplode(F.when(done.isNotNull(), F.array(done)).otherwise(F.split("piece", ""))).alias("j", "sign"), done.isNotNull().alias("done"))
+    pieces = pieces.join(learned.select(F.col("was").alias("sign"), F.col("now").alias("other")), "sign", "left")
+    fixed = F.when(F.col("done"), F.col("sign")).otherwise(F.col("other"))
+    pieces = pieces.groupBy("word").agg(
+        F.bool_and(fixed.isNotNull()).alias("whole"),
+        F.sort_array(F.collect_list(F.struct("i", "j", fixed.alias("s")))).alias("parts"),
+    )
+    out = pieces.where("whole").select("word", F.array_join(F.col("parts.s"), "").alias("fixed"), F.lit("aligned").alias("chain"))
+    # a shouted word stays as it is, like those of the listed encodings
+    loud = F.col("word").rlike("[A-Z].*[A-Z]") & ~F.col("word").rlike("[a-z]") & F.col("fixed").rlike(r"\p{Ll}")
+    return out.where(~loud)
+
+
 def by_document(found: DataFrame, cand: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, token, word, fixed, chain): words wholly beyond ASCII that their document tells to be garbled.
 
@@ -268,12 +343,13 @@ def by_document(found: DataFrame, cand: DataFrame, known: DataFrame) -> DataFram
     those of the document that are not known otherwise.
     """
     whole = cand.where("whole and firm and not utf8")
-    words = found.select("doc_id", "word").distinct()
     proved = whole.where("twin").join(known.select("word", "chain"), ["word", "chain"], "left_semi").select("word", "chain")
-    support = words.join(proved, "word").groupBy("doc_id", "chain").agg(F.count(F.lit(1)).alias("support"))
+    support = found.join(proved, "word").select("doc_id", "word", "chain").distinct()
+    support = support.groupBy("doc_id", "chain").agg(F.count(F.lit(1)).alias("support"))
     support = cut(support.where(F.col("support") >= MIN_WORDS), "support")
-    all_ = words.join(support.select("doc_id").distinct(), "doc_id", "left_semi")
-    all_ = all_.join(whole.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("all"))
+    all_ = found.join(support.select("doc_id").distinct(), "doc_id", "left_semi")
+    all_ = all_.join(whole.select("word").distinct(), "word", "left_semi").select("doc_id", "word").distinct()
+    all_ = all_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("all"))
     holds = support.join(all_, "doc_id").where(F.col("support") >= MIN_SHARE * F.col("all")).drop("all")
     rest = found.join(holds, "doc_id").join(known.select("word"), "word", "left_anti")
     rest = rest.join(whole.where("not twin").select("word", "chain", "fixed"), ["word", "chain"])
@@ -302,6 +378,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     vocab = cut(vocabulary(found), "vocabulary")
     cand = scored(vocab)
     known = cut(learn(vocab, cand).unionByName(replaced(vocab)), "garbled")
+    known = cut(known.unionByName(aligned(found, vocab, known)), "garbled-aligned")
     out = found.join(known, "word").select("doc_id", "token", "word", "fixed", "chain")
     return out.unionByName(by_document(found, cand, known)).distinct()
 
@@ -318,7 +395,7 @@ def restored(documents: DataFrame, garbled: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_words"),
         F.count_if(F.contains("fixed", F.lit("�"))).alias("n_lost"),
     )
-    rows = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = documents.join(per_doc.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     pieces = F.regexp_extract_all("text", F.lit(r"(\s+|\S+)"), F.lit(1))
     text = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at("m", p), p)), "")
     return rows.join(per_doc, "doc_id").select("doc_id", text.alias("text"), "n_words", "n_lost")
