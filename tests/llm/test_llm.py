@@ -13,6 +13,7 @@ from lexaris.llm import (
 )
 
 T0 = dt.datetime(2024, 1, 1)
+from lexaris.llm.words import plain
 T1 = dt.datetime(2024, 1, 2)
 
 TF = "doc_id long, term string, f double, seen_at timestamp, df long, w int, n long"
@@ -281,11 +282,23 @@ def test_neighbours_small_and_empty(spark):
     assert rows(neighbours.nearest(v.limit(0), 5)) == []
 
 
+def test_lists_beyond_the_first_words():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((800, 64))
+    s = neighbours.Settings(books=3, words=8)
+    index = neighbours.fit(x, 900, s)  # 800 rows allow 200 first words
+    assert len(index.books[0]) == 200 and index.parts > 1 and 400 < index.lists <= 1000
+    codes = neighbours.encode(x, index.books, s.beam)
+    own, probed = index.list_of(codes), index.probed(x, 12)
+    assert probed.shape == (800, 12) and all(len(set(p)) == 12 for p in probed) and probed.max() < index.lists
+    assert np.mean([o in p for o, p in zip(own, probed)]) > 0.9
+
+
 def test_beam_search_lowers_error():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 64))
     s = neighbours.Settings(books=4, words=16)
-    books = neighbours.fit(x, 16, s)
+    books = neighbours.fit(x, 16, s).books
 
     def error(beam):
         codes = neighbours.encode(x, books, beam)
@@ -306,6 +319,11 @@ def edited(words, edits):
     return w
 
 
+def test_plain_words(spark):
+    got = spark.range(1).select(plain(F.lit("<b>Über-\nsetzer</b> sœur, Strasse Straße naïve's")), plain(F.lit(None).cast("string"))).first()
+    assert tuple(got) == ("ubersetzer sour strasse strasse naives", None)
+
+
 def test_leaks(spark):
     w = ITEM.split()
     items = spark.createDataFrame([(1, "s", "de", ITEM), (1, "s", "de", ITEM), (2, "s", "de", "zu kurz"), (3, "s", "de", None), (None, "s", "de", ITEM)], "item_id long, suite string, lang string, text string")
@@ -329,6 +347,18 @@ def test_leaks(spark):
     assert rows(leaks.leaked(docs, items.limit(0))) == []
 
 
+def test_leaks_of_common_instructions(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "SPREAD", 7)  # common shingles are dealt to many keys
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    start = "Lies den folgenden Text genau und nenne dann die richtige der Antworten"
+    tails = [" ".join(f"wort{i}x{j}" for j in range(12)) for i in range(30)]
+    items = [(i, f"{start} {t}") for i, t in enumerate(tails)] + [(5, "ein zweiter Text unter derselben Nummer " + " ".join(f"z{j}" for j in range(14)))]
+    docs = [(d, f"vorher {start} " + " ".join(f"fremd{d}x{j}" for j in range(20))) for d in range(60)]
+    docs += [(100 + i, f"{start} {tails[i]}") for i in range(0, 30, 3)] + [(200, " ".join(f"z{j}" for j in range(14)))]
+    got = leaks.leaked(texts(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got) == sorted([(100 + i, i) for i in range(0, 30, 3)] + [(200, 5)], key=str)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(40)]
@@ -417,6 +447,18 @@ def test_garbled_doc_of_learned_signs(spark):
     assert ("Kübelfüller",) in [(r["fixed"],) for r in g.collect()]
 
 
+def test_unlisted_encoding_is_learned_by_alignment(spark):
+    words = "Müller hört über Größe schöne Brücken früh süß König Hügel Löffel Rücken böse müde groß Straße heiß"
+    clean = [(i, words) for i in range(20)]
+    for read in ("cp775", "hp_roman8", "kz1048"):
+        assert read not in encoding.READ_AS
+        bad = words.encode("cp1252").decode(read)
+        odd = [(50, bad), (51, bad), (52, "vorher " + "Bücherböden".encode("cp1252").decode(read) + " nachher")]
+        g = encoding.garbled_tokens(texts(spark, clean + odd + [(60, "Møller mit Jørgen und Sørensen"), (61, "niño señor")]))
+        back = {r["doc_id"]: r["text"] for r in encoding.restored(texts(spark, clean + odd), g).collect()}
+        assert back == {50: words, 51: words, 52: "vorher Bücherböden nachher"}
+
+
 def test_references_to_the_replacement_character(spark):
     clean = [(i, SENTENCE) for i in range(30)]
     odd = {50: "das M&#65533;ller Haus", 51: "das M&#xFFFD;ller&#65533;x Haus", 52: "das M�ller Haus", 53: "ganz &#xfffd; allein"}
