@@ -89,3 +89,13 @@ def linear_fit(y: Column, x: Column) -> tuple[Column, Column]:
 def log_fit(y: Column, x: Column) -> tuple[Column, Column]:
     """Aggregates (exponent, factor) of y = factor * x ** exponent."""
     return F.regr_slope(F.log(y), F.log(x)), F.exp(F.regr_intercept(F.log(y), F.log(x)))
+
+
+def boltzmann(d: Column, base: float = 2.0, beta: float = -1.0) -> Column:
+    """The weight base ** (beta d), not yet normalised."""
+    return F.pow(F.lit(base), beta * d)
+
+
+def gauss_tail(d: Column, mu: Column, sigma: Column) -> Column:
+    """The weight 1 - normal distribution function of a distance, not yet normalised."""
+    return 1 - gauss_cdf(d, mu, sigma)

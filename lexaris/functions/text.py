@@ -66,3 +66,34 @@ def clean_name(col: Column) -> Column:
 def clean_source(col: Column) -> Column:
     bare = F.lower(compose(strip_blanks(col)))
     return F.when(F.length(bare) > 0, bare)
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+
+
+def dirname(path: Column) -> Column:
+    """The folder of a path; ``.`` where it names none."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(".")
+
+
+def trim_suffix(path: Column, pattern: str) -> Column:
+    """``path`` without its first match of ``pattern``, such as a suffix."""
+    found = F.regexp_extract(path, f"({pattern})", 1)
+    at = F.instr(path, found)
+    rest = F.concat(F.substr(path, F.lit(1), at - 1), F.substr(path, at + F.length(found)))
+    return F.when(found != "", rest).otherwise(path)
+
+
+def output_name(path: Column, trim: str = r"\.[^.]*$", suffix: str = "") -> Column:
+    """Where what is made of the file ``path`` goes: beside it, under its name trimmed and with ``suffix``."""
+    return F.concat(dirname(path), F.lit("/"), trim_suffix(basename(path), trim), F.lit(suffix))
+
+
+def short_label(label: Column) -> Column:
+    """The name of a file without folder and suffixes, a page number at its end as ``?p=NUMBER``."""
+    return F.regexp_replace(F.regexp_replace(basename(label), r"\.\D.*$", ""), r"\.(\d+)$", "?p=$1")
+
+
+def underscored(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s", "_")

@@ -78,3 +78,27 @@ def l2(x: Column, y: Column) -> Column:
 def relative_error(x: Column, y: Column) -> Column:
     """Squared difference relative to the squared length of ``x``."""
     return F.try_divide(l2(x, y) * l2(x, y), dot(x, x))
+
+
+def unit_sum(x: Column) -> Column:
+    """Components divided by their sum."""
+    return F.transform(x, lambda v: F.try_divide(v, total(x)))
+
+
+def unit_length(x: Column) -> Column:
+    return F.transform(x, lambda v: F.try_divide(v, norm(x)))
+
+
+def raised(x: Column, least: Column | None = None) -> Column:
+    """Components from 0 on, ``least`` being the vector's own least component or that of the whole table, summing up to 1."""
+    low = F.array_min(x) if least is None else least
+    return unit_sum(F.transform(x, lambda v: v - low))
+
+
+#: Normalisations of a table of vectors by name; "shifted" needs the least component of the table.
+NORMALISED: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda x, least: unit_sum(x),
+    "shifted": raised,
+    "row-shifted": lambda x, least: raised(x),
+    "length": lambda x, least: unit_length(x),
+}

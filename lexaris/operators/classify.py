@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of a side up to which it is sent to every executor.
-BROADCAST_ROWS = 100_000
-
+from lexaris.session import checked
 
 def similarity(d: Column) -> Column:
     """1 / d within [0, 1e38]."""
@@ -27,7 +25,7 @@ def raw_distances(tdm0: DataFrame, tcm: DataFrame, documents: DataFrame, cats: D
     doc_norm = tdm0.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("f") * F.col("f"))).alias("nd"))
     cat_norm = tcm.groupBy("cat_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nc"))
     sides = documents.select("doc_id").join(doc_norm, "doc_id", "left")
-    sides = sides.crossJoin(F.broadcast(cats.select("cat_id").join(cat_norm, "cat_id", "left")))
+    sides = sides.crossJoin(checked(cats.select("cat_id").join(cat_norm, "cat_id", "left")))
     full = sides.join(dots, ["doc_id", "cat_id"], "left")
     cos = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nd") * F.col("nc"))
     d = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.coalesce(1 - cos, F.lit(2.0))))

@@ -108,6 +108,27 @@ def category_sizes(tdm0: DataFrame, dcm: DataFrame) -> DataFrame:
     )
 
 
+def semantic_by_category(tdm0: DataFrame, dcm: DataFrame) -> DataFrame:
+    """(cat_id, n_sem, n_other): tokens of semantic classes and others of each category, with a total row (cat_id null)."""
+    rows = tdm0.join(dcm.select("doc_id", "cat_id"), "doc_id").withColumn("sem", F.col("term").rlike("^SEM"))
+    part = lambda sem: F.sum(F.when(F.col("sem") == sem, F.col("f")).otherwise(0.0))
+    return rows.rollup("cat_id").agg(part(True).alias("n_sem"), part(False).alias("n_other"))
+
+
+def profile(cells: DataFrame, marginals: DataFrame, min_freq: float, min_doc_freq: float) -> DataFrame:
+    """Cells of a document's profile: f and the term's document frequency of at least the bounds."""
+    kept = marginals.where(F.col("tdf0") >= min_doc_freq).select("term")
+    return cells.where(F.col("f") >= min_freq).join(kept, "term", "left_semi")
+
+
+def profile_json(cells: DataFrame, value: str = "v") -> DataFrame:
+    """(doc_id, json): a document's terms and weights as JSON, greatest weight first."""
+    entry = F.struct((-F.col(value)).alias("k"), F.col("term").alias("text"), F.col(value).alias("weight"))
+    per_doc = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))  # a document's own
+    list_ = F.transform("e", lambda e: F.struct(e.text.alias("text"), e.weight.alias("weight")))
+    return per_doc.select("doc_id", F.to_json(F.struct(list_.alias("doc"))).alias("json"))
+
+
 def semantic_split(signatures: DataFrame) -> DataFrame:
     """(is_sem, n_terms, n_tokens): terms of semantic classes and others."""
     rows = signatures.withColumn("is_sem", F.col("term").rlike("^SEM"))

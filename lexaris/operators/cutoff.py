@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexaris.functions.math import frac, gauss_cdf, gauss_width, harmonic
+from lexaris.session import checked, cut
 
 DEFAULT = 2.0
 NEVER = 1e38
@@ -20,7 +22,7 @@ def distance_matrix(dist: DataFrame, documents: DataFrame, cats: DataFrame) -> D
 
     The categories are a short list, sent to all executors.
     """
-    full = documents.select("doc_id").crossJoin(F.broadcast(cats.select("cat_id")))
+    full = documents.select("doc_id").crossJoin(checked(cats.select("cat_id")))
     return full.join(dist, ["doc_id", "cat_id"], "left").select("doc_id", "cat_id", F.coalesce("d", F.lit(DEFAULT)).alias("d"))
 
 
@@ -33,6 +35,38 @@ def fit(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def fit_sparse(dist: DataFrame, wanted: DataFrame, cats: DataFrame) -> DataFrame:
+    """``fit`` of the distances given, the others being DEFAULT, without a row for each of these.
+
+    Sums run over what distances fall short of DEFAULT, to which the missing ones add nothing.
+    """
+    own = wanted.select("doc_id", F.col("cat_id").alias("own"))
+    short = (F.lit(DEFAULT) - F.col("d")).alias("e")
+    given = dist.join(cats.select("cat_id"), "cat_id", "left_semi").join(own, "doc_id")
+    given = given.select("cat_id", (F.col("cat_id") == F.col("own")).alias("is_member"), short)
+    sums = given.groupBy("cat_id", "is_member").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"))
+    n = own.groupBy(F.col("own").alias("cat_id")).agg(F.count(F.lit(1)).alias("m"))
+    all_ = own.agg(F.count(F.lit(1)).alias("all"))
+    sides = cats.select("cat_id").join(n, "cat_id", "left").crossJoin(F.broadcast(all_))  # one row
+    m = F.coalesce("m", F.lit(0))
+    sides = sides.select("cat_id", F.explode(F.array(
+        F.struct(F.lit(True).alias("is_member"), m.alias("n")), F.struct(F.lit(False).alias("is_member"), (F.col("all") - m).alias("n"))
+    )).alias("_s")).select("cat_id", "_s.*").where("n > 0")
+    out = sides.join(sums, ["cat_id", "is_member"], "left")
+    mean, square = F.coalesce("s", F.lit(0.0)) / F.col("n"), F.coalesce("q", F.lit(0.0)) / F.col("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+    return out.select("cat_id", "is_member", "n", (F.lit(DEFAULT) - mean).alias("mu"), sd.alias("sd"))
+
+
+def with_null_proto(dist: DataFrame, wanted: DataFrame, null_cat: int, proto: int) -> tuple[DataFrame, DataFrame]:
+    """Distances and wanted categories in which the null category's documents are wanted of its stand-in too.
+
+    The distances to ``null_cat`` count for ``proto`` as well, so that both are fitted on the same documents.
+    """
+    twin = dist.where(F.col("cat_id") == null_cat).withColumn("cat_id", F.lit(proto).cast("long"))
+    return dist.unionByName(twin), wanted.where(F.col("cat_id") == null_cat).withColumn("cat_id", F.lit(proto).cast("long"))
+
+
 def repaired(fitted: DataFrame, cats: DataFrame) -> DataFrame:
     """(cat_id, mu0, sd0, mu1, sd1): one row a category, with bad fits replaced.
 
@@ -102,77 +136,121 @@ def fitness(decided: DataFrame, wanted: DataFrame, sink: int | None = None) -> D
     return acc.crossJoin(m).select("acc", harmonic(F.col("pr"), F.col("rc")).alias("F"), "avg", "min")  # one row each
 
 
-def _fitness_of(name: str) -> Callable[[np.ndarray, np.ndarray, int, int | None], float]:
-    def value(wanted: np.ndarray, got: np.ndarray, n: int, sink: int | None) -> float:
-        if name == "acc":
-            return float((wanted == got).mean())
-        hits = np.bincount(wanted[wanted == got], minlength=n)
-        nw, ng = np.bincount(wanted, minlength=n), np.bincount(got, minlength=n)
-        ok = (nw > 0) & (ng > 0)
-        if sink is not None:
-            ok[sink] = False
-        if not ok.any():
-            return 0.0
-        pr, rc = hits[ok] / ng[ok], hits[ok] / nw[ok]
-        if name == "avg":
-            return float(((pr + rc) / 2).mean())
-        if name == "min":
-            return float(np.minimum(pr, rc).mean())
-        p, r = pr.mean(), rc.mean()
-        return float(2 / (1 / p + 1 / r)) if p > 0 and r > 0 else 0.0
+def _fitness_of(name: str, hits: np.ndarray, nw: np.ndarray, ng: np.ndarray, fixed: int | None) -> float:
+    """The fitness named ``name`` from what is hit, wanted and got of each category."""
+    if name == "acc":
+        return float(hits.sum() / max(1, nw.sum()))
+    ok = (nw > 0) & (ng > 0)
+    if fixed is not None:
+        ok[fixed] = False
+    if not ok.any():
+        return 0.0
+    pr, rc = hits[ok] / ng[ok], hits[ok] / nw[ok]
+    if name == "avg":
+        return float(((pr + rc) / 2).mean())
+    if name == "min":
+        return float(np.minimum(pr, rc).mean())
+    p, r = pr.mean(), rc.mean()
+    return float(2 / (1 / p + 1 / r)) if p > 0 and r > 0 else 0.0
 
-    return value
 
+def _counts(packed: DataFrame, candidates: np.ndarray, cutval: float) -> np.ndarray:
+    """(candidate, kind, category): documents hit, wanted and got under each candidate's cut-offs.
 
-#: Distances that the optimiser takes to the driver at most, 8 bytes each.
-MOST_CELLS = 50_000_000
+    ``packed`` is (own, d), a row a document with its distances in the order of the
+    categories. Each task sums up its documents; the sums, candidates x 3 x categories,
+    are added by key.
+    """
+    m, n = candidates.shape
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((m, 3, n), dtype=np.int64)
+        for rows in batches:
+            if rows.empty:
+                continue
+            d, own = np.stack(rows["d"].to_numpy()), rows["own"].to_numpy()
+            for i in range(m):
+                got = np.argmin(d + cutval * (d > candidates[i]), axis=1)
+                out[i, 0] += np.bincount(own[got == own], minlength=n)
+                out[i, 1] += np.bincount(own, minlength=n)
+                out[i, 2] += np.bincount(got, minlength=n)
+        yield pd.DataFrame({"i": range(m), "c": [x.tobytes() for x in out]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in group["c"]], axis=0)
+        return pd.DataFrame({"i": [group["i"].iloc[0]], "c": [total.tobytes()]})
+
+    parts = packed.mapInPandas(part, "i int, c binary").groupBy("i").applyInPandas(added, "i int, c binary")
+    out = np.zeros((m, 3, n), dtype=np.int64)
+    for r in parts.collect():  # a row a candidate
+        out[r["i"]] = np.frombuffer(r["c"], dtype=np.int64).reshape(3, n)
+    return out
+
+
+#: Distances of a category kept to draw from under ``select``: evenly spaced quantiles.
+QUANTILES = 1000
 
 
 def optimize(
     matrix: DataFrame, wanted: DataFrame, cuts: DataFrame, rounds: int = 100, fitness_name: str = "F",
     mutate: str = "norm", sink: int | None = None, seed: int = 0, pmutate: float | None = None, cutval: float = 100.0,
+    brood: int = 20,
 ) -> DataFrame:
     """(cat_id, cutoff, fitness0, fitness): cut-offs improved by seeded random mutation.
 
-    Starts from the fitted cut-offs or from none, whichever is fitter; a mutation is kept
-    if strictly fitter, so fitness never falls. ``mutate`` draws a new cut-off from a
+    Starts from the fitted cut-offs or from none, whichever is fitter. ``rounds`` mutations
+    are tried, ``brood`` in one pass over the documents; the fittest of a pass is kept if
+    strictly fitter, so fitness never falls. ``mutate`` draws a new cut-off from a
     normal distribution around the others' mean, from the observed distances, or evenly
-    between their bounds. The matrix of documents x categories is taken to the driver,
-    after a check that it has at most MOST_CELLS cells.
+    between their bounds. The matrix stays a table; the driver holds cut-offs and counts
+    of the categories, a short list.
     """
-    cells = matrix.count()
-    if cells > MOST_CELLS:
-        raise ValueError(f"{cells} distances; fit on a sample of the documents with at most {MOST_CELLS}")
     cat_rows = cuts.orderBy("cat_id").toPandas()
-    cats = cat_rows["cat_id"].to_numpy()
-    rows = matrix.join(wanted.select("doc_id", F.col("cat_id").alias("own")), "doc_id").orderBy("doc_id", "cat_id").toPandas()
-    dist = rows["d"].to_numpy().reshape(-1, len(cats))
-    own = np.searchsorted(cats, rows["own"].to_numpy().reshape(-1, len(cats))[:, 0])
-    fixed = None if sink is None else int(np.searchsorted(cats, sink))
-    rng, score = np.random.default_rng(seed), _fitness_of(fitness_name)
-
-    def of(values: np.ndarray) -> float:
-        return score(own, np.argmin(dist + cutval * (dist > values), axis=1), len(cats), fixed)
-
-    fitted, none = cat_rows["cutoff"].to_numpy(dtype=float), np.full(len(cats), NEVER)
-    best = fitted if of(fitted) >= of(none) else none
-    start = now = of(best)
-    for _ in range(rounds):
+    cats = [int(c) for c in cat_rows["cat_id"]]
+    position = F.create_map(*[F.lit(x) for i, c in enumerate(cats) for x in (c, i)])
+    cells = matrix.where(F.col("cat_id").isin(cats)).groupBy("doc_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("cat_id", "d"))), lambda c: c.d).alias("d")
+    )
+    own = wanted.where(F.col("cat_id").isin(cats)).select("doc_id", position[F.col("cat_id")].alias("own"))
+    packed = cut(cells.where(F.size("d") == len(cats)).join(own, "doc_id").select("own", "d"), "packed")
+    fixed = None if sink is None else cats.index(sink)
+    rng = np.random.default_rng(seed)
+    observed = None
+    if mutate != "norm":
+        shares = [i / (QUANTILES - 1) for i in range(QUANTILES)] if mutate == "select" else [0.0, 1.0]
+        q = matrix.groupBy("cat_id").agg(F.percentile("d", F.array(*[F.lit(v) for v in shares])).alias("q"))
+        by_cat = {r["cat_id"]: r["q"] for r in q.collect()}  # a row a category
+        observed = [np.array(by_cat[c]) for c in cats]
+
+    def of(candidates: list[np.ndarray]) -> list[float]:
+        return [_fitness_of(fitness_name, *c, fixed) for c in _counts(packed, np.stack(candidates), cutval)]
+
+    def mutated(values: np.ndarray) -> np.ndarray:
         mask = rng.random(len(cats)) < (pmutate if pmutate is not None else 1 / len(cats))
         if fixed is not None:
             mask[fixed] = False
         if not mask.any():
             mask[rng.choice([i for i in range(len(cats)) if i != fixed])] = True
-        fresh = best.copy()
+        fresh = values.copy()
         for i in np.flatnonzero(mask):
             if mutate == "norm":
                 fresh[i] = rng.normal(cat_rows["mu0"][i], 3 * cat_rows["sd0"][i])
             elif mutate == "select":
-                fresh[i] = rng.choice(dist[:, i])
+                fresh[i] = rng.choice(observed[i])
             else:
-                fresh[i] = rng.uniform(dist[:, i].min(), dist[:, i].max())
-        value = of(fresh)
-        if value > now:
-            best, now = fresh, value
-    out = [(int(c), float(v), start, now) for c, v in zip(cats, best, strict=True)]
+                fresh[i] = rng.uniform(observed[i][0], observed[i][-1])
+        return fresh
+
+    starts = [cat_rows["cutoff"].to_numpy(dtype=float), np.full(len(cats), NEVER)]
+    fit_cut, fit_none = of(starts)
+    best, now = (starts[0], fit_cut) if fit_cut >= fit_none else (starts[1], fit_none)
+    start, left = now, rounds
+    while left > 0:
+        tried = [mutated(best) for _ in range(min(brood, left))]
+        left -= len(tried)
+        values = of(tried)
+        top = int(np.argmax(values))
+        if values[top] > now:
+            best, now = tried[top], values[top]
+    out = [(c, float(v), start, now) for c, v in zip(cats, best, strict=True)]
     return matrix.sparkSession.createDataFrame(out, "cat_id long, cutoff double, fitness0 double, fitness double")

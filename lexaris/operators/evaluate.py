@@ -31,6 +31,11 @@ def category_order(name: str) -> list[Column]:
     return [category_prefix(F.col(name)), F.col(name)]
 
 
+def category_order_by_rest(name: str) -> list[Column]:
+    """Sort columns of the corpus reports: numeric prefix (none as 0), then what follows it."""
+    return [category_prefix(F.col(name), 0), F.regexp_replace(name, r"^\d{1,18}", "")]
+
+
 def wanted_got(wanted: DataFrame, got: DataFrame) -> DataFrame:
     """(label, wanted, got) of labels on both sides; the others are dropped."""
     return wanted.select("label", F.col("cat").alias("wanted")).join(got.select("label", F.col("cat").alias("got")), "label")
@@ -46,6 +51,14 @@ def pairs(both: DataFrame) -> DataFrame:
     return both.groupBy(F.col("wanted").alias("cat1"), F.col("got").alias("cat2")).agg(F.count(F.lit(1)).alias("ndocs"))
 
 
+def merge_checked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs of two evaluations given by their documents (label, wanted, got); a label in both raises an error when read."""
+    twice = shared_labels(first, second).agg(F.count(F.lit(1)).alias("twice"))
+    rows = merge(pairs(first), pairs(second)).crossJoin(F.broadcast(twice))  # one row
+    wrong = F.raise_error(F.concat(F.col("twice").cast("string"), F.lit(" labels in both evaluations"))).cast("long")
+    return rows.select("cat1", "cat2", F.when(F.col("twice") > 0, wrong).otherwise(F.col("ndocs")).alias("ndocs"))
+
+
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs of two evaluations added up."""
     return first.unionByName(second).groupBy("cat1", "cat2").agg(F.sum("ndocs").alias("ndocs"))
@@ -188,6 +201,11 @@ def mean_similarity(distances: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("cat1", F.col("cat_id").alias("cat2")).agg(F.avg(1 - F.col("d") / 2).alias("sim"))
 
 
+def of_row_maximum(cells: DataFrame, row: str, value: str) -> DataFrame:
+    """``cells`` with ``best``: whether the value is the greatest of its row; rows are categories, a short list."""
+    return cells.withColumn("best", F.col(value) == F.max(value).over(W.partitionBy(row)))
+
+
 def report(modes: DataFrame, cats: DataFrame, errors: DataFrame, n: int = 10) -> DataFrame:
     """(part, pos, line): the text report; modes, categories in category order, the top errors."""
     pct = lambda c: F.format_string("%6.2f", 100 * F.col(c))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaris.functions.vectors import DISTANCES, scale, total
-from lexaris.session import cut
+from lexaris.session import checked, cut
 
 #: Singular values below this share of the first are dropped.
 LEAST = 1e-9
@@ -165,6 +165,19 @@ def category_vectors(
     return vector_sum(rows, "cat_id", scale(F.col("x"), F.col("w")), rank)
 
 
+def null_vector(tw: DataFrame, factors: DataFrame, s: float, rank: int) -> DataFrame:
+    """(x): where a document without any term lies, every term counting as absent."""
+    cells = tw.select(F.lit(0).alias("k"), "term", (F.log(F.lit(s)) * F.col("tw")).alias("v"))
+    return project(cells, "k", factors, rank).select("x")
+
+
+def with_null_proto(ranks: DataFrame, names: DataFrame, proto: int, null_cat: int) -> DataFrame:
+    """``ranks`` with names: the stand-in ``proto`` goes under the null category's id and name, marked in ``proto``."""
+    named = ranks.withColumn("proto", F.when(F.col("cat_id") == proto, "(null)"))
+    named = named.withColumn("cat_id", F.when(F.col("cat_id") == proto, F.lit(null_cat).cast("long")).otherwise(F.col("cat_id")))
+    return named.join(names.select("cat_id", "name"), "cat_id", "left")
+
+
 def root_mean_square(x: Column) -> Column:
     """The cached deviation of a vector: sqrt(mean(x^2))."""
     return F.sqrt(F.try_divide(total(F.transform(x, lambda v: v * v)), F.size(x)))
@@ -173,4 +186,4 @@ def root_mean_square(x: Column) -> Column:
 def distances(rows: DataFrame, cats: DataFrame, letter: str = "u") -> DataFrame:
     """(doc_id, cat_id, d) of every document vector to every category vector; categories are a short list."""
     c = cats.select("cat_id", F.col("x").alias("_y"))
-    return rows.crossJoin(F.broadcast(c)).select("doc_id", "cat_id", DISTANCES[letter](F.col("x"), F.col("_y")).alias("d"))
+    return rows.crossJoin(checked(c)).select("doc_id", "cat_id", DISTANCES[letter](F.col("x"), F.col("_y")).alias("d"))

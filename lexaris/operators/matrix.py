@@ -18,6 +18,28 @@ def smoothing(cells: DataFrame) -> DataFrame:
     return n.crossJoin(cells.agg(F.sum("f").alias("total"))).select(F.try_divide("n", "total").alias("s"))
 
 
+def smoothing_by_category(cells: DataFrame) -> DataFrame:
+    """One row (s): number of categories over the sum of all frequencies, for a model of categories."""
+    return cells.agg(F.try_divide(F.count_distinct("cat_id"), F.sum("f")).alias("s"))
+
+
+def checked_weights(tw: DataFrame) -> DataFrame:
+    """``tw`` as it is; a weight that is infinite, no number or negative raises an error when read."""
+    bad = F.isnan("tw") | (F.abs("tw") == float("inf")) | (F.col("tw") < -1e-12)
+    message = F.concat(F.lit("bad weight of term "), F.col("term"))
+    return tw.withColumn("tw", F.when(bad, F.raise_error(message).cast("double")).otherwise(F.col("tw")))
+
+
+def recompiled(tdm0: DataFrame, dcm: DataFrame, min_freq: float, min_doc_freq: float, method: str, s: float) -> tuple[DataFrame, DataFrame]:
+    """(tdm, tcm) built anew under other bounds and weights from a model's raw matrix."""
+    from lexaris.operators.trim import trim
+
+    cells = trim(tdm0, min_freq, min_doc_freq)
+    tdm = weighted(cells, weights(cells, "doc_id", method), s)
+    by_cat = term_category(cells, dcm)
+    return tdm, weighted(by_cat, weights(by_cat, "cat_id", method), s)
+
+
 def log_transform(cells: DataFrame, s: float) -> DataFrame:
     return cells.withColumn("v", F.log(F.col("f") + s))
 

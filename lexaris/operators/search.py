@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaris.functions.math import gauss_cdf
 from lexaris.functions.vectors import DISTANCES
+from lexaris.session import cut
 
 # fixed values: the prefixes of the query language
 PREFIXES = {
@@ -71,6 +73,74 @@ def query_vector(terms: DataFrame | None, docs: DataFrame | None, cats: DataFram
     return F.array(*[F.lit(float(v)) for v in parts])
 
 
+@dataclass(frozen=True)
+class Space:
+    """What a query is answered from: vectors with labels, and bounds of the model's vocabulary.
+
+    ``terms`` is (term, x, tf0, tdf0), ``docs`` and ``cats`` are (label, x).
+    """
+
+    terms: DataFrame
+    docs: DataFrame
+    cats: DataFrame
+    rank: int
+    min_freq: float = 0.0
+    min_doc_freq: float = 0.0
+
+
+def gathered(space: Space, query: str) -> Column:
+    """The vector of a query string: its terms, and the documents and categories that its labels or patterns name.
+
+    Terms that are not in the vocabulary are dropped. An unknown query is all zero.
+    """
+    parts = parse(query)
+    spark = space.terms.sparkSession
+    wanted = [(body, w) for kind, body, w in parts if kind == "term"]
+    terms = docs = cats = None
+    if wanted:
+        known = spark.createDataFrame(wanted, "term string, w double")
+        terms = cut(space.terms.join(F.broadcast(known), "term").select("w", "x"), "query-terms")  # a query's own terms
+        terms = None if terms.isEmpty() else terms
+    for kind, side in (("doc", space.docs), ("cat", space.cats)):
+        found = None
+        for body in (b for k, b, _ in parts if k == kind):
+            hit = lookup(side, "label", body)
+            found = hit if found is None else found.unionByName(hit)
+        if found is not None:
+            found = cut(found.dropDuplicates(["label"]).select("x"), "query-" + kind)
+            found = None if found.isEmpty() else found
+        docs, cats = (found, cats) if kind == "doc" else (docs, found)
+    if terms is None and docs is None and cats is None:
+        return F.array(*[F.lit(0.0)] * space.rank)
+    return query_vector(terms, docs, cats, space.rank)
+
+
+def answered(
+    space: Space, query: str, k: int = 10, to: str | None = None, letter: str = "u", how: str = "",
+    min_freq: float = 0.0, min_doc_freq: float = 0.0, digits: int = 9,
+) -> DataFrame:
+    """(label, d): the ``k`` documents, categories or terms nearest to a query string.
+
+    Terms rarer than the bounds asked for are infinitely far, where these exceed the model's own.
+    """
+    kind = space_of(to, space.cats.limit(2).count())
+    q = gathered(space, query)
+    items = {"docs": space.docs, "cats": space.cats}.get(kind)
+    if items is None:
+        items = space.terms.withColumnRenamed("term", "label")
+    rows = items.withColumn("d", F.round(DISTANCES[letter](F.col("x"), q), digits))
+    if kind == "terms" and (min_freq > space.min_freq or min_doc_freq > space.min_doc_freq):
+        rows = rows.withColumn("d", masked(F.col("d"), F.col("tf0"), F.col("tdf0"), min_freq, min_doc_freq))
+    rows = rows.select("label", "d")
+    return normalised(rows.orderBy("d", "label").limit(k), how, rows)
+
+
+def distance_range(items: DataFrame, query: Column, letter: str = "u") -> DataFrame:
+    """One row (least, greatest): the bounds of the distances of all items to a query."""
+    d = DISTANCES[letter](F.col("x"), query)
+    return items.agg(F.min(d).alias("least"), F.max(d).alias("greatest"))
+
+
 def space_of(name: str | None, n_cats: int) -> str:
     """Which items to search: documents, categories or terms; by default categories if there are several."""
     if not name:
@@ -91,7 +161,7 @@ def k_best(items: DataFrame, query: Column, label: str, k: int, letter: str = "u
 
 def normalised(best: DataFrame, how: str, every: DataFrame) -> DataFrame:
     """``best`` with d / 2, or its probability under the distances of ``every`` item, or unchanged."""
-    if how[:1] in "lvc2":
+    if how and how[0] in "lvc2":
         return best.withColumn("d", F.col("d") / 2)
     if how[:1] == "g" or how[:3] == "nor":
         m = every.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sd"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexaris.operators.signatures import global_frequencies
+from lexaris.session import cut
 
 
 def kept_terms(signatures: DataFrame, min_freq: float, min_doc_freq: float) -> DataFrame:
@@ -40,6 +41,7 @@ def number(df: DataFrame, key: str, name: str) -> DataFrame:
     the number of rows in the partitions before it, known from one count per partition.
     """
     parts = df.select(key).distinct().repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
+    parts = cut(parts, "parts")  # counts and rows must see the same partitions
     parts = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition
@@ -54,6 +56,30 @@ def local_categories(members: DataFrame) -> DataFrame:
     return members.select("cat_id").distinct().select((F.row_number().over(order) - 1).cast("long").alias("lcid"), "cat_id")
 
 
+def null_category_name(cats: DataFrame, asked: str | None) -> DataFrame:
+    """One row (null_name): the category asked for; ``(auto)`` is the one of the least id."""
+    if asked != "(auto)":
+        return cats.sparkSession.createDataFrame([(asked,)], "null_name string")
+    return cats.agg(F.min(F.struct("cat_id", "name")).alias("b")).select(F.col("b.name").alias("null_name"))
+
+
+def ids_from_names(cats: DataFrame) -> DataFrame:
+    """``cats`` (cat_id, name): the number that a name begins with, before ``_``, is its id; a missing id is 0.
+
+    Of several names under one id the first in byte order keeps it, the others get ids
+    after the greatest.
+    """
+    number = F.regexp_extract("name", r"^(\d{1,18})_", 1)
+    asked = F.coalesce(F.try_to_number(number, F.lit("9" * 18)).cast("long"), F.col("cat_id"), F.lit(0).cast("long"))
+    rows = cats.select("name", asked.alias("asked")).distinct()
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("asked").orderBy("name")))
+    every = W.partitionBy()  # a row per category
+    rows = rows.withColumn("top", F.max("asked").over(every))
+    late = W.partitionBy(F.col("r") > 1).orderBy("asked", "name")
+    rows = rows.withColumn("k", F.row_number().over(late))
+    return rows.select(F.when(F.col("r") == 1, F.col("asked")).otherwise(F.col("top") + F.col("k")).alias("cat_id"), "name")
+
+
 def with_null_category(cats: DataFrame) -> DataFrame:
     """``cats`` (cat_id, name) with ``(null)`` under id 0, or after the greatest id if 0 is taken."""
     free = cats.agg(F.max((F.col("cat_id") == 0).cast("int")).alias("taken"), F.max("cat_id").alias("top"))

@@ -6,6 +6,8 @@ Every query reads its whole tables. Derived doubles are rounded to 6 places on b
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lexaris.functions import vectors as V
 from lexaris.functions.math import erf_sql
 from lexaris.operators import classify, corpus, cutoff, evaluate, matrix, search, signatures, trim
 from lexaris.operators.lemmatize import CONTENT, SEP, lemmatize
+from lexaris.session import cut
 from lexaris.tables import best_category, categories, counted, doc_labels, latest, load, memberships, usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,18 +25,61 @@ ORACLE: dict[str, str] = {}
 MIN_FREQ, MIN_DOC_FREQ, SMOOTH = 10, 4, 1.001
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query and its SQL."""
+#: What of the shared views a query needs more than once; it is written once a call and read from there.
+KEPT: dict[str, str] = {
+    **dict.fromkeys("merge_signatures trim_max_terms_per_doc tdm_raw tdm_log weight_uniform weight_hc tdf0_tf0 tcm_raw".split(), "tf"),
+    **dict.fromkeys("model_category_sizes null_proto_fit profile_filter".split(), "tf"),
+    **dict.fromkeys("smoothing_constant weight_hmax weight_hq tdm_weighted kbest_masked doc_profile_top_terms".split(), "tf tdm0"),
+    **dict.fromkeys("weight_bycat weight_mix weight_unmix tcm_weighted invert_tdm cat_best_terms".split(), "tf tcm0"),
+    **dict.fromkeys("classify_raw classify_raw_best confusion_pairs".split(), "tf tdm0 dcm tcm0 tcm"),
+    **dict.fromkeys("eval_classes eval_error_total merge_evals confusion_conditional best_of_row best_of_column".split(), "pairs"),
+    **dict.fromkeys("eval_global_modes eval_error_share eval_top_errors eval_report eval_report_lines".split(), "pairs classed"),
+    **dict.fromkeys("distance_matrix fit_gaussians cutoff_vector".split(), "distances wanted"),
+    **dict.fromkeys("closer_than_wanted_lt closer_than_wanted_le mean_similarity cutoff_apply optimize_cutoffs".split(), "distances wanted full_matrix"),
+    **dict.fromkeys("fitness_acc fitness_f fitness_avg fitness_min".split(), "distances wanted full_matrix"),
+}
+_TABLES: ContextVar[dict[str, DataFrame] | None] = ContextVar("tables", default=None)
+
+
+def view(f):
+    """A shared view; within a query that keeps it, it is written at first use."""
+
+    @wraps(f)
+    def read(spark, d):
+        tables = _TABLES.get()
+        if tables is None or f.__name__ not in tables:
+            return f(spark, d)
+        if tables[f.__name__] is None:
+            tables[f.__name__] = cut(f(spark, d), f.__name__)
+        return tables[f.__name__]
+
+    return read
+
+
+def registered(queries: dict, oracle: dict[str, str], name: str, sql: str | None):
+    """Puts a query and its SQL under its name."""
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark, d):
+            token = _TABLES.set(dict.fromkeys(KEPT.get(name, "").split()))
+            try:
+                return f(spark, d)
+            finally:
+                _TABLES.reset(token)
+
+        queries[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            oracle[name] = sql
         return f
 
     return add
 
 
+def query(name: str, sql: str | None = None):
+    return registered(QUERIES, ORACLE, name, sql)
+
+
 def r6(name: str, alias: str | None = None):
     return F.round(F.col(name), 6).alias(alias or name)
 
@@ -41,30 +87,37 @@ def r6(name: str, alias: str | None = None):
 # ---------------------------------------------------------------- shared views
 
 
+@view
 def tf(spark, d):
     return counted(load(spark, d, "tf"))
 
 
+@view
 def members(spark, d):
     return memberships(load(spark, d, "doc_cats"), load(spark, d, "cat2id"))
 
 
+@view
 def cats(spark, d):
     return categories(load(spark, d, "cat2id")).withColumnRenamed("cat", "name")
 
 
+@view
 def tdm0(spark, d):
     return trim.trim(tf(spark, d), MIN_FREQ, MIN_DOC_FREQ)
 
 
+@view
 def dcm(spark, d):
     return best_category(members(spark, d))
 
 
+@view
 def tcm0(spark, d):
     return matrix.term_category(tdm0(spark, d), dcm(spark, d))
 
 
+@view
 def distances(spark, d):
     """(doc_id, cat_id, d): valid distances of at most 2."""
     rows = load(spark, d, "dist").where(F.col("doc_id").isNotNull() & F.col("cat_id").isNotNull())
@@ -72,15 +125,18 @@ def distances(spark, d):
     return rows.where(usable(F.col("d")) & F.col("d").between(0, 2))
 
 
+@view
 def wanted(spark, d):
     """(doc_id, cat_id): best categories of the documents that have distances."""
     return dcm(spark, d).join(distances(spark, d).select("doc_id"), "doc_id", "left_semi")
 
 
+@view
 def full_matrix(spark, d):
     return cutoff.distance_matrix(distances(spark, d), wanted(spark, d), cats(spark, d))
 
 
+@view
 def both(spark, d):
     """(doc_id, wanted, got): names of the best and of the nearest category."""
     n = cats(spark, d)
@@ -93,6 +149,7 @@ def both(spark, d):
     )
 
 
+@view
 def pairs(spark, d):
     return evaluate.pairs(both(spark, d))
 
@@ -161,7 +218,7 @@ _CUT = (
     + ","
     + _DIST
     + """,
-wanted as (select doc_id, cat_id from dcm where doc_id in (select doc_id from d_rows)),
+wanted as (select doc_id, cat_id from dcm semi join d_rows using (doc_id)),
 full_m as (select w.doc_id, w.cat_id as own, c.cat_id, coalesce(d.d, 2.0) as d from wanted w cross join cats c
   left join d_rows d on d.doc_id = w.doc_id and d.cat_id = c.cat_id),
 fits as (select cat_id, cat_id = own as is_member, count(*) as n, avg(d) as mu, stddev_pop(d) as sd from full_m group by 1, 2),
@@ -343,6 +400,7 @@ def tdm_weighted(spark, d):
     return matrix.weighted(cells, matrix.weights(cells, "doc_id", "entropy"), SMOOTH).select("doc_id", "term", r6("v"))
 
 
+@view
 def tcm(spark, d):
     cells = tcm0(spark, d)
     return matrix.weighted(cells, matrix.weights(cells, "cat_id", "entropy"), SMOOTH)
@@ -415,7 +473,7 @@ def eval_pairs(spark, d):
 
 @query(
     "eval_one_sided",
-    f"with {_BOTH} select doc_id as label, 'wanted' as side from dcm where doc_id not in (select doc_id from near) union all select doc_id, 'got' from near where doc_id not in (select doc_id from dcm)",
+    f"with {_BOTH} select doc_id as label, 'wanted' as side from dcm anti join near using (doc_id) union all select doc_id, 'got' from near anti join dcm using (doc_id)",
 )
 def eval_one_sided(spark, d):
     near = distances(spark, d).select(F.col("doc_id").alias("label")).distinct()
@@ -430,9 +488,14 @@ def eval_by_category(spark, d):
     return evaluate.by_category(pairs(spark, d)).select("cat", "tp", "fp", "fn", r6("pr"), r6("rc"), r6("F"), r6("a"))
 
 
-def _classes(spark, d):
+@view
+def classed(spark, d):
     p = pairs(spark, d)
-    return p, evaluate.classes(evaluate.by_category(p), p)
+    return evaluate.classes(evaluate.by_category(p), p)
+
+
+def _classes(spark, d):
+    return pairs(spark, d), classed(spark, d)
 
 
 @query("eval_classes", f"with {_BOTH} select cat, class from cls")
@@ -600,13 +663,22 @@ for _name, (_letter, _formula) in _FORMULAS.items():
     _distance(_name, _letter, _formula)
 
 
+#: Blocks of queries and of rows that are met block by block.
+QUERY_BLOCKS = 8
+
+
 def queried(spark, d):
     """(doc_id, other, d): every vector whose id is divisible by 100 to all others."""
     v = vectors(spark, d)
     q = v.where(F.col("doc_id") % 100 == 0).select("doc_id", F.col("x").alias("q"))
     rest = v.select(F.col("doc_id").alias("other"), "x")
-    # queries against all rows: the planner sends the stated set of queries to the rows
-    rows = rest.join(F.broadcast(q), F.col("other") != F.col("doc_id"))
+    # a stated set of queries against all rows, block by block of queries, so that no task gets all of them
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(QUERY_BLOCKS))
+    q = q.withColumn("block", block)
+    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(QUERY_BLOCKS - 1).cast("long"))))
+    salt = F.pmod(F.xxhash64("other"), F.lit(QUERY_BLOCKS))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(QUERY_BLOCKS - 1).cast("long"))))
+    rows = rest.withColumn("salt", salt).join(q, ["block", "salt"]).where(F.col("other") != F.col("doc_id"))
     return rows.select("doc_id", "other", F.round(V.cosine_distance(F.col("q"), F.col("x")), 6).alias("d"))
 
 
@@ -681,11 +753,11 @@ def distance_matrix(spark, d):
 
 @query("fit_gaussians", f"with {_CUT} select cat_id, is_member, n, round(mu, 6) as mu, round(sd, 6) as sd from fits")
 def fit_gaussians(spark, d):
-    return cutoff.fit(full_matrix(spark, d), wanted(spark, d)).select("cat_id", "is_member", "n", r6("mu"), r6("sd"))
+    return cutoff.fit_sparse(distances(spark, d), wanted(spark, d), cats(spark, d)).select("cat_id", "is_member", "n", r6("mu"), r6("sd"))
 
 
 def cuts(spark, d):
-    return cutoff.cutoffs(cutoff.repaired(cutoff.fit(full_matrix(spark, d), wanted(spark, d)), cats(spark, d)))
+    return cutoff.cutoffs(cutoff.repaired(cutoff.fit_sparse(distances(spark, d), wanted(spark, d), cats(spark, d)), cats(spark, d)))
 
 
 @query("cutoff_vector", f"with {_CUT} select cat_id, round(mu0, 6) as mu0, round(sd0, 6) as sd0, round(mu1, 6) as mu1, round(sd1, 6) as sd1, round(cutoff, 6) as cutoff from cuts")
@@ -698,10 +770,10 @@ def cutoff_vector(spark, d):
     f"""with {_CUT},
 app as (select doc_id, cat_id, d, case when d > cutoff then 1 else 0 end as cut, round(1 - 0.5 * (1 + {erf_sql('((d - mu1) / (sd1 * 1.4142135623730951))')}), 6) as confp
   from full_m join cuts using (cat_id))
-select doc_id, cat_id, d, cut, floor(10 * confp)::int as confi, row_number() over (partition by doc_id order by cut, round(d, 6), cat_id) as deg from app""",
+select doc_id, cat_id, d, cut, round(confp, 5) as confp, floor(10 * confp)::int as confi, row_number() over (partition by doc_id order by cut, round(d, 6), cat_id) as deg from app""",
 )
 def cutoff_apply(spark, d):
-    return cutoff.apply(full_matrix(spark, d), cuts(spark, d)).select("doc_id", "cat_id", "d", "cut", "confi", "deg")
+    return cutoff.apply(full_matrix(spark, d), cuts(spark, d)).select("doc_id", "cat_id", "d", "cut", F.round("confp", 5).alias("confp"), "confi", "deg")
 
 
 def _fitness(spark, d):

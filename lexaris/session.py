@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 _FOLDERS: dict[str, str] = {}
@@ -68,6 +69,15 @@ def release(spark: SparkSession) -> None:
         _drop(spark, folder)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the tables of ``cut``."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/lexaris-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(release, spark)
+    return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -76,13 +86,19 @@ def cut(df: DataFrame, name: str = "step", partition_by: list[str] | None = None
     away when the Python process ends, or earlier by ``release``.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        _FOLDERS[app] = f"{shared_dir(spark)}/lexaris-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(release, spark)
-    path = f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a list, such as the categories, up to which it is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """``df`` marked to be sent to every executor if it has at most BROADCAST_ROWS rows, else as it is."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df

@@ -6,8 +6,13 @@ one document does. Tokens come as (file, key, f), the key holding ``ATTR=VALUE``
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # fixed values: attribute names of the tab dumps and of the 1-gram files
 DDC_NAMES = {"Token": "text", "Word": "text", "Utf8": "text", "CanonicalToken": "norm", "Lemma": "lemma", "Pos": "pos"}
@@ -15,6 +20,10 @@ CSV1G_NAMES = ("text", "xlit", "norm", "pos", "lemma")
 MODES = {".xml": "xml", ".1g": "csv1g", ".csv": "csv", ".tab": "ddctabs", ".tabs": "ddctabs", ".parquet": "parquet", ".json": "json"}
 
 
+#: What may stand between the name of an element and its end; a ``>`` within a value is no end.
+_ATTRIBUTES = r"""(?:[^<>"'/]|/(?!>)|"[^"]*"|'[^']*')*"""
+
+
 def mode_of(path: str, default: str = "xml") -> str:
     """The format that a file's suffix tells."""
     return next((m for suffix, m in MODES.items() if path.lower().endswith(suffix)), default)
@@ -22,7 +31,7 @@ def mode_of(path: str, default: str = "xml") -> str:
 
 def files(spark: SparkSession, path: str, match: str | None = None, recursive: bool = True) -> DataFrame:
     """(file, content) of the files under ``path`` whose name matches, folders searched to any depth."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path)
+    df = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     return df.where(F.regexp_like("file", F.lit(match))) if match else df
 
@@ -44,7 +53,7 @@ def _unescaped(c: Column) -> Column:
 
 def vzxml(df: DataFrame) -> DataFrame:
     """(file, key, f): every attribute of every ``<w>``, in document order, as one key."""
-    w = df.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<w\s([^>]*?)/?>"), F.lit(1))).alias("a"))
+    w = df.select("file", F.explode(F.regexp_extract_all("content", F.lit(rf"(?s)<w\s({_ATTRIBUTES})/?>"), F.lit(1))).alias("a"))
     pairs = F.regexp_extract_all("a", F.lit(r"""(?s)([\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))"""), F.lit(1))
     one = lambda p: F.concat(
         F.regexp_extract(p, r"^([\w:.-]+)", 1), F.lit("="), _squeezed(_unescaped(F.regexp_extract(p, r"""(?s)=\s*["'](.*)["']$""", 1)))
@@ -81,7 +90,7 @@ def xml_categories(df: DataFrame, misspelt: bool = True, dummy: bool = False) ->
     Defaults: degree 0, name unknown. With ``dummy`` a file without any gets (1, dummy, 1).
     """
     names = ("id", "name", "degree")
-    whole = df.withColumn("cats", F.regexp_extract_all("content", F.lit(rf"(?s)<(?:{'cat|vat' if misspelt else 'cat'})\s([^>]*?)/?>"), F.lit(1)))
+    whole = df.withColumn("cats", F.regexp_extract_all("content", F.lit(rf"(?s)<(?:{'cat|vat' if misspelt else 'cat'})\s({_ATTRIBUTES})/?>"), F.lit(1)))
     get = lambda a, n: F.regexp_extract(a, rf"""(?:^|\s){n}\s*=\s*["']([^"']*)["']""", 1)
     rows = whole.select("file", F.explode_outer("cats").alias("a"))
     out = rows.select(
@@ -101,14 +110,46 @@ def xml_categories(df: DataFrame, misspelt: bool = True, dummy: bool = False) ->
     return out.where("not none").drop("none")
 
 
+def process_files(df: DataFrame, each: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:
+    """(file, ``schema``, error): what ``each`` makes of every file's name and content.
+
+    A file that raises gives one row with the error and nulls, and the others go on.
+    """
+    fields = StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for file, content in zip(rows["file"], rows["content"], strict=True):
+                try:
+                    out += [(file, *row, None) for row in each(file, content)]
+                except Exception as e:  # noqa: BLE001 - whatever a file's callback raises belongs in its row
+                    out.append((file, *[None] * len(fields), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["file", *fields, "error"], dtype=object)
+
+    return df.select("file", "content").mapInPandas(run, f"file string, {schema}, error string")
+
+
+def _texts_at(paths: tuple[str, ...]):
+    def each(_: str, content: str) -> list[tuple[str]]:
+        root = ElementTree.fromstring(content)
+        found = (e for p in paths for e in root.findall(p))
+        return [("\n\n".join(t for t in ("".join(e.itertext()).strip() for e in found) if t),)]
+
+    return each
+
+
 def xml_text(df: DataFrame, paths: tuple[str, ...]) -> DataFrame:
-    """(file, text): the text of the elements at ``paths``, joined by blank lines; malformed XML gives an error."""
-    parts = [F.xpath("content", F.lit(p.rstrip("/") + "/text()")) for p in paths]
-    return df.select("file", F.array_join(F.concat(*parts), "\n\n").alias("text"))
+    """(file, text, error): the text of the elements at ``paths``, with all text within them, joined by blank lines.
+
+    Malformed XML gives the error and no text.
+    """
+    return process_files(df, _texts_at(paths), "text string")
 
 
-VZ_TEXT = ("//head/title", "//head/descrition", "//head/description", "//thread/title", "//post/plain")
-CAB_TEXT = ("/*/p", "/*/s")
+# fixed values: the elements that hold a document's text
+VZ_TEXT = (".//head/title", ".//head/descrition", ".//head/description", ".//thread/title", ".//post/plain")
+CAB_TEXT = ("./p", "./s")
 
 
 def csv1g(df: DataFrame, names: tuple[str, ...] = CSV1G_NAMES) -> DataFrame:
@@ -165,17 +206,45 @@ def signature_1g(df: DataFrame) -> DataFrame:
     return rows.select("file", F.coalesce("section", F.lit("terms")).alias("section"), F.get("v", F.lit(1)).alias("term"), f.alias("f"))
 
 
+def signature_1g_categories(df: DataFrame) -> DataFrame:
+    """(file, cat_id, name, deg) of a signature's ``%%$dc.cat.DEG=ID_NAME`` lines; without a number the id is null."""
+    rows = comment_categories(df)
+    number = F.regexp_extract("name", r"^(\d{1,18})_", 1)
+    return rows.select(
+        "file", F.try_to_number(number, F.lit("9" * 18)).cast("long").alias("cat_id"),
+        F.regexp_replace("name", r"^\d{1,18}_", "").alias("name"), "deg",
+    )
+
+
 def corpus_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of corpus files, one row each with its ``cat`` elements."""
-    schema = "_id long, _label string, _file string, _bytes long, _sigFile string, cat array<struct<_id:long,_name:string,_deg:int>>"
+    """Documents of corpus files, one row each with its ``cat`` elements; what an element lacks is null."""
+    cat = "_id:long,_name:string,_deg:int,_sim:double,_dist_raw:double,_cut:int,_confp:double,_confi:int,_proto:string"
+    schema = f"_id long, _class string, _label string, _file string, _bytes long, _sigFile string, cat array<struct<{cat}>>"
     df = spark.read.format("xml").option("rowTag", "doc").schema(schema).load(path)
-    return df.select(*[F.col("_" + c).alias(c) for c in ("id", "label", "file", "bytes", "sigFile")], "cat")
+    names = [field.split(":")[0][1:] for field in cat.split(",")]
+    cats = F.transform("cat", lambda c: F.struct(*[c[f"_{n}"].alias(n) for n in names]))
+    return df.select(*[F.col("_" + c).alias(c) for c in ("id", "class", "label", "file", "bytes", "sigFile")], cats.alias("cat"))
 
 
-def eval_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(cat1, cat2, ndocs) of evaluation files."""
-    df = spark.read.format("xml").option("rowTag", "pair").schema("_cat1 string, _cat2 string, _ndocs long").load(path)
-    return df.select(*[F.col("_" + c).alias(c) for c in ("cat1", "cat2", "ndocs")])
+def corpus_label(spark: SparkSession, path: str) -> DataFrame:
+    """(label) of the corpus files under ``path``."""
+    df = spark.read.format("xml").option("rowTag", "corpus").schema("_label string").load(path)
+    return df.select(F.col("_label").alias("label")).distinct()
+
+
+# fixed values: the parts of an evaluation file and their attributes
+EVAL_PARTS = {
+    "pair": "_cat1 string, _cat2 string, _class1 string, _class2 string, _ndocs long, _fdocs double, _ferrs double",
+    "mode": "_name string, _tp double, _fp double, _fn double, _pr double, _rc double, _F double",
+    "cat": "_name string, _class string, _tp long, _fp long, _fn long, _pr double, _rc double, _F double",
+    "doc": "_label string, _wanted string, _got string",
+}
+
+
+def eval_xml(spark: SparkSession, path: str, part: str = "pair") -> DataFrame:
+    """The ``part`` elements (pair, mode, cat or doc) of evaluation files; what an element lacks is null."""
+    df = spark.read.format("xml").option("rowTag", part).schema(EVAL_PARTS[part]).load(path)
+    return df.select(*[F.col(c).alias(c[1:]) for c in df.columns])
 
 
 def category_list(df: DataFrame) -> DataFrame:
@@ -210,3 +279,37 @@ def head_and_first_post(content: Column) -> Column:
     """The head, and the first post of the first thread."""
     thread = F.regexp_extract(content, r"(?s)<thread\b.*?</thread>", 0)
     return F.concat(head(content), F.regexp_extract(thread, r"(?s)<post\b.*?</post>", 0))
+
+
+def signature_of(df: DataFrame, cached: DataFrame | None, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(file, key, f): the cached signature of a file where there is one, else what ``parse`` makes of it."""
+    if cached is None:
+        return parse(df)
+    missing = df.join(cached.select("file").distinct(), "file", "left_anti")
+    known = cached.join(df.select("file").distinct(), "file", "left_semi")
+    return known.select("file", "key", "f").unionByName(parse(missing).select("file", "key", "f"))
+
+
+#: Parsers of token files by mode.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "xml": vzxml, "vzxml": vzxml, "cabxml": cabxml, "csv1g": csv1g, "ddctabs": ddctabs,
+    "csv": lambda df: signature_csv(df)[0].withColumnRenamed("term", "key"),
+}
+
+
+def tokens(df: DataFrame, mode: str | None = None) -> DataFrame:
+    """(file, key, f) of files of any format: of ``mode``, or of what each file's suffix tells."""
+    if mode is not None:
+        return PARSERS[mode](df).select("file", "key", "f")
+    out = None
+    for name, parse in PARSERS.items():
+        suffixes = [s for s, m in MODES.items() if m == name]
+        if suffixes:
+            pattern = "|".join(s.replace(".", r"\.") + "$" for s in suffixes)
+            named = F.lower("file").rlike(pattern)
+            if name == "xml":  # also files of no known suffix
+                others = "|".join(s.replace(".", r"\.") + "$" for s in MODES if MODES[s] != "xml")
+                named = named | ~F.lower("file").rlike(others)
+            part = parse(df.where(named)).select("file", "key", "f")
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -8,7 +8,7 @@ columns named here are read, so further columns, whatever their names, do no har
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaris.functions.text import clean_name, clean_term
@@ -62,6 +62,18 @@ def best_category(members: DataFrame) -> DataFrame:
     return members.groupBy("doc_id").agg(F.min(order).alias("_b")).select("doc_id", F.col("_b.cat_id").alias("cat_id"))
 
 
+def all_categories(members: DataFrame) -> DataFrame:
+    """(doc_id, cat_id, deg) of all memberships numbered from 1 by deg, for training that is not exclusive."""
+    order = Window.partitionBy("doc_id").orderBy(F.col("deg").asc_nulls_last(), "cat_id")
+    return members.select("doc_id", "cat_id", F.row_number().over(order).alias("deg"))
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of every key in ``order``."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_first", rank).where("_first = 1").drop("_first")
+
+
 def usable(col: Column) -> Column:
     """A double that is a number: not null, not NaN, not infinite."""
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(float("inf")))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lexaris.functions.math import erf, f1, f_beta, frac, gauss_cdf, harmonic, si
 from lexaris.functions.text import clean_name, clean_term
-from lexaris.functions.words import plain
 from lexaris.operators import classify, corpus, cutoff, evaluate, lsi, matrix, search, trim
 from lexaris.operators.lemmatize import CAB, CONTENT, SEM, SEP, by_name, lemmatize
 from lexaris.sources import readers, writers
@@ -36,8 +35,6 @@ def test_text(spark):
     df = spark.createDataFrame([(" über ",), ("  ",), (None,), ("01_Äpfel",)], "t string")
     got = df.select(clean_term(F.col("t")), clean_name(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("über", "über"), (None, None), (None, None), ("01_Äpfel", "äpfel")]
-    r = one(spark, plain(F.lit("<b>Über-\nsetzer</b> sœur, Strasse Straße naïve's")), plain(F.lit(None).cast("string")))
-    assert tuple(r) == ("ubersetzer sour strasse strasse naives", None)
 
 
 def test_matrix_identities(spark):
