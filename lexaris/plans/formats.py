@@ -573,3 +573,30 @@ def semantic_split_default(spark, d):
     from lexaris.operators.corpus import semantic_split
 
     return semantic_split(lemmatize(keys(spark, d), SEM)).select("is_sem", "n_tokens")
+
+
+# ---------------------------------------------------------------- a stream of documents
+
+
+@query(
+    "stream_classified",
+    f"""with {c._MATRIX},
+tk as (select doc_id, unnest(regexp_extract_all(lower(text), '(\\p{{L}}+)', 1)) as term from documents),
+t2 as (select doc_id, term, count(*)::double as f from tk where term in (select term from kept) group by 1, 2),
+dots as (select doc_id, cat_id, sum(t.f * v.v) as dot from t2 t join tcm v using (term) group by 1, 2),
+ndoc as (select doc_id, sqrt(sum(f * f)) as nd from t2 group by 1), ncat as (select cat_id, sqrt(sum(v * v)) as nc from tcm group by 1),
+r as (select d.doc_id, u.cat_id, round(greatest(0, least(2, coalesce(1 - coalesce(dot, 0) / (nd * nc), 2))), 6) as d
+  from documents d cross join (select distinct cat_id from tcm) u left join ndoc using (doc_id) left join ncat using (cat_id) left join dots using (doc_id, cat_id))
+select doc_id, cat_id, d from (select *, row_number() over (partition by doc_id order by d, cat_id) as deg from r) where deg = 1""",
+)
+def stream_classified(spark, d):
+    """All texts come in as a stream of files and are classified by a model of the signatures."""
+    from lexaris.streaming.classify import start
+
+    cells = cut(c.tdm0(spark, d), "tdm0")
+    by_cat = cut(matrix.term_category(cells, c.dcm(spark, d)), "tcm0")
+    tcm = cut(matrix.weighted(by_cat, matrix.weights(by_cat, "cat_id", "entropy"), c.SMOOTH), "tcm")
+    source, sink, state = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    load(spark, d, "documents").select("doc_id", "text").write.parquet(source)
+    start(spark, source, sink, state, cut(cells.select("term").distinct(), "vocabulary"), tcm).awaitTermination()
+    return spark.read.parquet(sink).select("doc_id", "cat_id", "d")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexaris.functions.math import erf, f1, f_beta, frac, gauss_cdf, harmonic, si
 from lexaris.functions.text import clean_name, clean_term
-from lexaris.operators import classify, corpus, cutoff, evaluate, lsi, matrix, search, trim
+from lexaris.functions import text as T
+from lexaris.operators import classify, cluster, corpus, cutoff, evaluate, lsi, matrix, search, trim
 from lexaris.operators.lemmatize import CAB, CONTENT, SEM, SEP, by_name, lemmatize
 from lexaris.sources import readers, writers
 
@@ -155,7 +156,13 @@ def test_xml_sources(spark):
     assert rows(readers.vzxml(df)) == [("f", "norm=das Haus\tpos=NN\tlemma=haus", 1.0), ("f", "norm=geht", 1.0)]
     assert rows(readers.xml_categories(df)) == [("f", 3, "A&B", 2), ("f", 4, "C", 1)]
     assert rows(readers.xml_categories(as_file(spark, "<doc/>"), dummy=True)) == [("f", 1, "dummy", 1)]
-    assert rows(readers.xml_text(df, readers.VZ_TEXT)) == [("f", "T\n\nTT\n\np1")]
+    assert rows(readers.xml_text(df, readers.VZ_TEXT)) == [("f", "T\n\nTT\n\np1", None)]
+    bad = readers.xml_text(df.unionByName(as_file(spark, "<doc><head>").withColumn("file", F.lit("g"))), readers.VZ_TEXT)
+    assert [(r["file"], r["text"] is None, r["error"] is None) for r in bad.orderBy("file").collect()] == [("f", False, True), ("g", True, False)]
+    odd = as_file(spark, """<doc><s><w norm="a>b" pos='x>"y'/><w norm="c/d"/></s></doc>""")
+    assert rows(readers.vzxml(odd)) == [("f", "norm=a>b\tpos=x>\"y", 1.0), ("f", "norm=c/d", 1.0)]
+    nested = as_file(spark, "<doc><p>a <b>b</b> c</p><q>no</q><s>d</s></doc>")
+    assert readers.xml_text(nested, readers.CAB_TEXT).first()["text"] == "a b c\n\nd"
     clean = df.select(readers.clean_xml(F.col("content")).alias("c"), readers.head_and_first_post(F.col("content")).alias("h")).first()
     assert "<vat" not in clean["c"] and clean["h"].endswith("<post><plain>p1</plain></post>")
     cab = '<doc><s><w t="Häuser"><xlit latin1Text="Haeuser"/><moot word="Häuser" tag="NN" lemma="Haus"/></w></s></doc>'
@@ -185,16 +192,26 @@ def test_round_trips(spark, tmp_path):
     docs = spark.createDataFrame([(1, "l<&", "f", 3, "s", [(7, "recht", 1)])], "id long, label string, file string, bytes long, sigFile string, cat array<struct<id:long,name:string,deg:int>>")
     writers.corpus_xml(docs, str(tmp_path / "c"))
     back = readers.corpus_xml(spark, str(tmp_path / "c")).first()
-    assert back["label"] == "l<&" and back["cat"][0]["_name"] == "recht"
+    assert back["label"] == "l<&" and back["cat"][0]["name"] == "recht" and back["class"] is None
+    writers.corpus_xml(docs.drop("sigFile"), str(tmp_path / "c2"), cats=False)
+    assert readers.corpus_xml(spark, str(tmp_path / "c2")).first()["cat"] is None
+    writers.write_lines(writers.signature_csv(terms, cats), str(tmp_path / "l"), 3)
+    assert rows(writers.read_lines(spark, str(tmp_path / "l"))) == [("1", "<1> 7 recht\nb\t3.5\na\t2\n")]
+    vectors = spark.createDataFrame([(1, [0.5, -2.0]), (2, [1e-9, 3.0])], "id long, x array<double>")
+    writers.save_text_model({"v": vectors, "t": terms}, str(tmp_path / "t"))
+    text = writers.load_text_model(spark, str(tmp_path / "t"), ["v", "t"])
+    assert rows(text["v"]) == rows(vectors) and rows(text["t"]) == rows(terms)
     p = spark.createDataFrame([("a", "b", 3)], "cat1 string, cat2 string, ndocs long")
     writers.eval_xml(p, str(tmp_path / "e"))
-    assert rows(readers.eval_xml(spark, str(tmp_path / "e"))) == [("a", "b", 3)]
+    assert rows(readers.eval_xml(spark, str(tmp_path / "e")).select("cat1", "cat2", "ndocs")) == [("a", "b", 3)]
     writers.save_model({"terms": terms}, str(tmp_path / "m"), {"svdr": 16})
     assert rows(writers.load_model(spark, str(tmp_path / "m"), ["terms"])["terms"]) == rows(terms)
     assert writers.load_options(spark, str(tmp_path / "m")) == {"svdr": "16"}
     (tmp_path / "in" / "deep").mkdir(parents=True)
-    (tmp_path / "in" / "deep" / "x.1g").write_text("1\ta\n")
-    assert readers.files(spark, str(tmp_path / "in"), r"\.1g$").count() == 1
+    (tmp_path / "in" / "deep" / "x.1g").write_text("1\ta\n2\tb\n")
+    found = readers.files(spark, str(tmp_path / "in"), r"\.1g$")
+    assert [r["content"] for r in found.collect()] == ["1\ta\n2\tb\n"]  # a file is one row
+    assert {(r["key"], r["f"]) for r in readers.tokens(found).collect()} == {("text=a", 1.0), ("text=b", 2.0)}
 
 
 def test_streaming(spark, tmp_path):
@@ -206,3 +223,116 @@ def test_streaming(spark, tmp_path):
     tcm = spark.createDataFrame([("haus", 1, 1.0), ("baum", 2, 1.0)], "term string, cat_id long, v double")
     start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), vocab, tcm).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("doc_id", "cat_id")) == [(1, 1), (2, 2)]
+
+
+def test_plain_session_and_shared_folder(spark):
+    """The reduced space needs no Arrow settings; a cluster without a shared folder is refused."""
+    from lexaris import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {"x": None})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        cells = spark.createDataFrame([(0, "a", 3.0), (1, "b", 2.0)], "doc_id long, term string, v double")
+        assert lsi.svd(cells, "doc_id", 2).sigma == pytest.approx([3, 2])
+        empty = lsi.svd(cells.limit(0), "doc_id", 2)
+        assert len(empty.sigma) == 0 and empty.factors.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
+def test_sparse_fit_equals_dense_fit(spark):
+    rng = np.random.default_rng(5)
+    dist = spark.createDataFrame([(d, c, float(rng.uniform(0, 2))) for d in range(40) for c in range(4) if rng.random() < 0.4], "doc_id long, cat_id long, d double")
+    wanted = spark.createDataFrame([(d, d % 3) for d in range(40)], "doc_id long, cat_id long")
+    cats = spark.createDataFrame([(c,) for c in range(5)], "cat_id long")
+    dense = cutoff.fit(cutoff.distance_matrix(dist, wanted, cats), wanted)
+    key = lambda r: (r["cat_id"], r["is_member"])
+    one, two = ({key(r): (r["n"], r["mu"], r["sd"]) for r in f.collect()} for f in (dense, cutoff.fit_sparse(dist, wanted, cats)))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-7) for k in one)
+
+
+@pytest.mark.parametrize("mutate", ["select", "bounds"])
+def test_optimiser_draws(spark, mutate):
+    m = spark.createDataFrame([(d, c, 0.2 + 0.1 * ((d * 7 + c * 3) % 11)) for d in range(30) for c in range(3)], "doc_id long, cat_id long, d double")
+    w = spark.createDataFrame([(d, d % 3) for d in range(30)], "doc_id long, cat_id long")
+    cats = spark.createDataFrame([(c,) for c in range(3)], "cat_id long")
+    cuts = cutoff.cutoffs(cutoff.repaired(cutoff.fit(m, w), cats))
+    out = cutoff.optimize(m, w, cuts, rounds=12, mutate=mutate, fitness_name="acc", brood=6, sink=1)
+    first = out.first()
+    assert first["fitness"] >= first["fitness0"]
+    # what is reported is what the plain aggregation finds
+    got = cutoff.fitness(cutoff.decide(m, out.select("cat_id", "cutoff")), w).first()["acc"]
+    assert got == pytest.approx(first["fitness"])
+
+
+def test_hierarchical_links_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((9, 5))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cat_id long, x array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    dist = np.round(1 - u @ u.T, 9)
+    for link, of in (("min", min), ("max", max), ("avg", lambda d: sum(d) / len(d))):
+        groups, want = [[i] for i in range(9)], []
+        while len(groups) > 1:
+            d, a, b = min((of([dist[i, j] for i in p for j in q]), k, m) for k, p in enumerate(groups) for m, q in enumerate(groups) if k < m)
+            want.append(d)
+            groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] + groups[b]]
+        steps = cluster.linked(items, "cat_id", link)
+        assert [r["d"] for r in steps.orderBy("step").collect()] == pytest.approx(want, abs=1e-8)
+        cut = cluster.cut_tree(steps, items, "cat_id", 3)
+        assert cut.select("cluster").distinct().count() == 3 and cut.count() == 9
+
+
+def test_search_end_to_end(spark):
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(3)]
+    terms = spark.createDataFrame([("Eisen", unit(0), 9.0, 5), ("Erz", unit(1), 1.0, 1)], "term string, x array<double>, tf0 double, tdf0 long")
+    docs = spark.createDataFrame([("heft.1", unit(0)), ("heft.2", unit(1)), ("buch", unit(2))], "label string, x array<double>")
+    cats = spark.createDataFrame([("recht", unit(0)), ("sport", unit(2))], "label string, x array<double>")
+    s = search.Space(terms, docs, cats, 3)
+    q = spark.range(1).select(search.gathered(s, "Eisen:3 Erz unbekannt doc=heft cat=sport").alias("q")).first()["q"]
+    # terms 3/4 and 1/4; two documents and a category, each by 1 / (3 + 1)
+    assert q == pytest.approx([0.75 + 0.25, 0.25 + 0.25, 0.25])
+    assert [r["label"] for r in search.answered(s, "Eisen", 1).collect()] == ["recht"]
+    assert [r["label"] for r in search.answered(s, "doc=heft\\.2", 2, "docs").collect()] == ["heft.2", "buch"]
+    masked = search.answered(s, "Erz", 2, "terms", min_doc_freq=3).collect()
+    assert [(r["label"], r["d"]) for r in masked] == [("Eisen", 1.0), ("Erz", math.inf)]
+    assert search.answered(s, "niemand", 1, "docs").first()["d"] == 2.0
+
+
+def test_registry():
+    from lexaris import registry
+
+    assert registry.resolve("document", "Document::CabCsv1g") is readers.csv1g and registry.resolve("document", None) is readers.vzxml
+    assert registry.resolve("mapper", "LSI-KNN") is classify.neighbour_votes and registry.resolve("lemmatizer", "default") is SEM
+    registry.register("document", "Mine", len)
+    assert registry.resolve("document", "mine") is len
+    with pytest.raises(ValueError):
+        registry.resolve("mapper", "none such")
+    assert registry.chain(lambda x: x + 1, lambda x: 2 * x)(3) == 8
+
+
+def test_checks_raise(spark):
+    bad = spark.createDataFrame([("a", 1.0), ("b", -0.5)], "term string, tw double")
+    assert matrix.checked_weights(bad.where("tw > 0")).count() == 1
+    with pytest.raises(Exception, match="bad weight of term b"):
+        matrix.checked_weights(bad).collect()
+    one = spark.createDataFrame([("x", "a", "a"), ("y", "a", "b")], "label string, wanted string, got string")
+    assert rows(evaluate.merge_checked(one.where("label = 'x'"), one.where("label = 'y'"))) == [("a", "a", 1), ("a", "b", 1)]
+    with pytest.raises(Exception, match="labels in both"):
+        evaluate.merge_checked(one, one).collect()
+
+
+def test_names(spark):
+    r = one(spark, *[T.short_label(F.lit(x)) for x in ("a/b.0017.xml", "b.xml")], T.output_name(F.lit("a/x.y.xml"), suffix=".sig"), T.dirname(F.lit("x")), T.basename(F.lit("a/b/")))
+    assert tuple(r) == ("b?p=0017", "b", "a/x.y.sig", ".", "b")
+    cats = spark.createDataFrame([("7_a", 3), ("b", 7), ("c", None)], "name string, cat_id long")
+    assert rows(trim.ids_from_names(cats)) == [(0, "c"), (7, "7_a"), (8, "b")]
