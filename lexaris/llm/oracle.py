@@ -1,6 +1,6 @@
 """DuckDB equivalents of the pN_ queries that SQL can express.
 
-None for p1_sample, p4, p7, p8_mix, p8_report and p9: they are tested against brute force, round
+None for p1_sample, p4, p6_neighbours, p7, p8_mix, p8_report and p9: they are tested against brute force, round
 trips or held-out labels instead.
 """
 
@@ -90,6 +90,26 @@ ORACLE: dict[str, str] = {
 with {_POOL}
 select w.cat_id from wanted w left join (select cat_id, count(*) as n from pool group by 1) h using (cat_id), size
 where coalesce(h.n, 0) < greatest(w.share * size.s, w.least)""",
+    # one factor for all categories between their bounds, found between the points where one reaches a bound
+    "p1_report": f"""
+with {_POOL},
+c as (select w.cat_id, coalesce(h.n, 0) as n, w.share, w.least, least(coalesce(h.n, 0), greatest(w.least, 0)) as lo,
+    greatest(w.share * size.s, w.least) as wanted, size.s
+  from wanted w left join (select cat_id, count(*) as n from pool group by 1) h using (cat_id), size),
+goal as (select greatest(least(max(s), sum(n)), sum(lo)) as goal from c),
+points as (select distinct f from (select lo / share as f from c where share > 0 union all select n / share from c where share > 0 union all select 0.0)),
+sums as (select f, sum(greatest(lo, least(n, f * share))) as total from points cross join c group by 1),
+above as (select f as f1, total as t1 from sums, goal where total >= goal order by f limit 1),
+below as (select f as f0, total as t0 from sums, goal where total < goal order by f desc limit 1),
+factor as (select case when f1 is null then (select max(f) from points) when f0 is null or t1 = t0 then f1
+    else f0 + (f1 - f0) * (goal - t0) / (t1 - t0) end as f from goal left join above on true left join below on true),
+placed as (select c.*, greatest(lo, least(n, f * share)) as x from c, factor),
+exact as (select *, x + (n - x) * coalesce(((select goal from goal) - sum(x) over ()) / nullif(sum(n - x) over (), 0), 0)
+    * case when (select count(*) from above) = 0 then 1 else 0 end as e from placed),
+floors as (select *, floor(e + 1e-9) as q from exact),
+ordered as (select *, row_number() over (order by round(q - e, 9), cat_id) as r, (select goal from goal) - sum(q) over () as rest from floors)
+select cat_id, n as n_docs, share as target_share, least as min_docs, round(wanted, 6) as wanted,
+  (q + case when r <= rest then 1 else 0 end)::bigint as quota, n < wanted as exhausted from ordered""",
     "p2_found": f"""
 with {_WEIGHTS}
 select doc_id, term from counted join lengths using (doc_id) join weights using (term)
@@ -117,6 +137,11 @@ where r <= (select val from mapper_opts where opt = 'bestDocs')""",
     "p6_found": f"""
 with {_vectors('xdm')}, {_vectors('xcm')}
 select distinct * from (select * from r_xdm union all select * from r_xcm)""",
+    "p8_targets": f"""
+with mixing as (
+  select distinct source, greatest(coalesce(weight, 0), 0) as weight, coalesce(max_repeats, 1) as max_repeats
+  from source_mix where source is not null)
+select source, round(weight / (select sum(weight) from mixing), 6) as target_share, max_repeats from mixing""",
     # any size in proportion to the tokens tells the same sources; here it is the length
     "p8_found": f"""
 with mixing as (

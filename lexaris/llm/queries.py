@@ -120,6 +120,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(mixture.mix(sizes, sums, plan), plan)
 
 
+def p8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the report is fixed before any text is measured."""
+    plan = _mix_parts(spark, sf_dir)[2]
+    return plan.select("source", F.round("share", 6).alias("target_share"), "max_repeats")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_tokens(load(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -134,6 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         p1_found, p1_sample, p1_report, p2_found, p2_scores, p3_found, p4_found, p4_composition,
         p5_found, p5_frequencies, p6_found, p6_neighbours, p7_found, p8_found, p8_mix,
-        p8_report, p9_found, p9_restored,
+        p8_report, p8_targets, p9_found, p9_restored,
     )
 }

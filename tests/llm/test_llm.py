@@ -228,6 +228,39 @@ def test_subjects_propagate(spark):
     assert {r["doc_id"] for r in got.where("seed").collect()} == {m[0] for m in mem}
 
 
+def test_subjects_propagate_along_a_chain(spark):
+    """Words that no seed has get their subject from documents that got theirs in the round before."""
+    tf, labelled = [], []
+    for s in ("law", "sport", "music"):
+        for step in range(5):  # documents of a step share words with the step before and bring new ones
+            for j in range(30):
+                doc = {"law": 0, "sport": 1000, "music": 2000}[s] + step * 100 + j
+                tf += [(doc, f"{s}{k}-{i}", 2.0) for k in (step, step + 1) for i in range(6) if (i + j) % 3]
+                if step == 0:
+                    labelled.append((doc, s))
+    df = spark.createDataFrame(tf, "doc_id long, term string, f double")
+    seeds = spark.createDataFrame(labelled, "doc_id long, subject string")
+    reached = []
+    for rounds in (1, 2, 12):
+        found, _ = subjects.propagate(df, seeds, rounds)
+        reached.append({(r["doc_id"] // 1000, r["doc_id"] // 100 % 10) for r in found.collect()})
+    assert len(reached[0]) < len(reached[1]) < len(reached[2]) == 15
+    name = {0: "law", 1: "sport", 2: "music"}
+    assert all(r["subject"] == name[r["doc_id"] // 1000] for r in found.collect())
+
+
+def test_chance_is_tested_at_every_size():
+    shares = [0.7, 0.3]
+    # of lemmas strewn at random most agree on a subject that holds most documents; they are told from proper ones at any size
+    for n in (20, 60, 500):
+        m = round(0.72 * n)
+        counts = {(n, round(p * n)): c for p, c in ((0.45, 40), (0.55, 300), (0.62, 700), (0.72, 900), (0.8, 300))}
+        counts[n, n] = 50
+        good = subjects.by_chance(counts, shares)
+        assert (n, n) in good
+        assert (n, m) not in subjects.by_chance({(n, n // 2): 30, (n, m): 3}, shares) or n > 400
+
+
 def test_subjects_of_seeds_with_many(spark):
     rng = random.Random(12)
     names = [f"s{i}" for i in range(10)]
