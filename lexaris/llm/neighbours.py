@@ -42,7 +42,7 @@ class Settings:
     words: int = 64
     beam: int = 4
     probes: int = 12
-    rerank: int = 64
+    rerank: int = 128
     block: int = 1024
     rounds: int = 8
     rows_a_word: int = 4
@@ -247,7 +247,7 @@ def nearest(vectors: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
     sample = members.where(pick).select("id", "x").orderBy(F.xxhash64("id", F.lit(s.seed))).limit(s.sample).toPandas()
     if sample.empty:
         sample = members.orderBy("id").limit(s.sample).select("id", "x").toPandas()
-    index = fit(_matrix(sample["x"]), max(1, round(2 * total**0.5)), s)
+    index = fit(_matrix(sample["x"]), max(1, round(total**0.5)), s)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = members.select("id", "x").repartition(tasks).mapInPandas(
