@@ -770,10 +770,10 @@ def cutoff_vector(spark, d):
     f"""with {_CUT},
 app as (select doc_id, cat_id, d, case when d > cutoff then 1 else 0 end as cut, round(1 - 0.5 * (1 + {erf_sql('((d - mu1) / (sd1 * 1.4142135623730951))')}), 6) as confp
   from full_m join cuts using (cat_id))
-select doc_id, cat_id, d, cut, round(confp, 5) as confp, floor(10 * confp)::int as confi, row_number() over (partition by doc_id order by cut, round(d, 6), cat_id) as deg from app""",
+select doc_id, cat_id, d, cut, round(confp + 1e-8, 5) as confp, floor(10 * confp)::int as confi, row_number() over (partition by doc_id order by cut, round(d, 6), cat_id) as deg from app""",
 )
 def cutoff_apply(spark, d):
-    return cutoff.apply(full_matrix(spark, d), cuts(spark, d)).select("doc_id", "cat_id", "d", "cut", F.round("confp", 5).alias("confp"), "confi", "deg")
+    return cutoff.apply(full_matrix(spark, d), cuts(spark, d)).select("doc_id", "cat_id", "d", "cut", F.round(F.col("confp") + 1e-8, 5).alias("confp"), "confi", "deg")
 
 
 def _fitness(spark, d):

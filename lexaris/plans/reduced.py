@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaris.operators import classify, corpus, evaluate, lsi, matrix, search
+from lexaris.operators import classify, corpus, crosscheck, lsi, matrix, search
 from lexaris.plans import catalogue as c
 from lexaris.session import cut
 
@@ -70,32 +70,47 @@ def subcorpus_term_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xcheck_summary(spark: SparkSession, d: str) -> DataFrame:
-    """(fold, n, accuracy): each fold classified by centroids of the others, in raw space."""
-    best = c.dcm(spark, d)
+    """(fold, n, accuracy) of three folds balanced by size, and of all."""
+    best = cut(c.dcm(spark, d), "dcm")
     folds = cut(corpus.split(c.documents(spark, d).join(best, "doc_id"), 3), "folds")
-    cells = cut(c.tdm0(spark, d), "tdm0")
-    out = []
-    for fold in range(3):
-        train = folds.where(F.col("fold") != fold)
-        tcm0 = cut(matrix.term_category(cells, train), "tcm0")
-        tcm = cut(matrix.weighted(tcm0, matrix.weights(tcm0, "cat_id", "entropy"), c.SMOOTH), "tcm")
-        held = folds.where(F.col("fold") == fold).select("doc_id", "cat_id")
-        tested = cells.join(held, "doc_id", "left_semi")
-        docs = tested.select("doc_id").distinct()
-        got = classify.best(classify.ranked(classify.raw_distances(tested, tcm, docs, tcm.select("cat_id").distinct())))
-        both = evaluate.wanted_got(
-            held.select(F.col("doc_id").alias("label"), F.col("cat_id").alias("cat")),
-            got.select(F.col("doc_id").alias("label"), F.col("cat_id").alias("cat")),
-        )
-        hit = (F.col("wanted") == F.col("got")).cast("double")
-        out.append(both.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")).withColumn("fold", F.lit(fold)))
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("fold", "n", "accuracy")
+    return crosscheck.summary(crosscheck.by_folds(cut(c.tdm0(spark, d), "tdm0"), best, folds, 3, c.SMOOTH))
+
 
+def xcheck_with_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The same under cut-offs fitted on each fold's training documents."""
+    best = cut(c.dcm(spark, d), "dcm")
+    folds = cut(corpus.split(c.documents(spark, d).join(best, "doc_id"), 3), "folds")
+    return crosscheck.summary(crosscheck.by_folds(cut(c.tdm0(spark, d), "tdm0"), best, folds, 3, c.SMOOTH, cutoffs=True))
+
+
+def xcheck_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(cat1, cat2, ndocs): the pairs of all folds together, folds being told by the documents' numbers."""
+    best = cut(c.dcm(spark, d), "dcm")
+    folds = best.select("doc_id", F.pmod("doc_id", F.lit(3)).alias("fold"))
+    rows = crosscheck.by_folds(cut(c.tdm0(spark, d), "tdm0"), best, folds, 3, c.SMOOTH)
+    return rows.groupBy(F.col("wanted").alias("cat1"), F.col("got").alias("cat2")).agg(F.count(F.lit(1)).alias("ndocs"))
+
+
+ORACLE: dict[str, str] = {
+    "xcheck_pairs": f"""with {c._MATRIX}, fs as (select unnest([0, 1, 2]) as fold),
+pl as (select t.doc_id, term, f, cat_id, t.doc_id % 3 as own_fold from tdm0 t join dcm using (doc_id)),
+k0 as (select fold, term, cat_id, sum(f) as f from pl join fs on own_fold <> fold group by all),
+k1 as (select fold, term, log2(sum(f)) - sum(f * log2(f)) / sum(f) as h from k0 group by 1, 2),
+k2 as (select fold, log2(count(distinct cat_id)) as top from k0 group by 1),
+km as (select fold, term, cat_id, ln(f + 1.001) * (1 - h / top) as v from k0 join k1 using (fold, term) join k2 using (fold)),
+kd as (select p.own_fold as fold, doc_id, m.cat_id, sum(p.f * m.v) as dot from pl p join km m on m.fold = own_fold and m.term = p.term group by all),
+kn as (select doc_id, own_fold as fold, any_value(cat_id) as wanted, sqrt(sum(f * f)) as nd from pl group by 1, 2),
+kc as (select fold, cat_id, sqrt(sum(v * v)) as nc from km group by 1, 2),
+kr as (select doc_id, wanted, kc.cat_id, round(greatest(0, least(2, coalesce(1 - coalesce(dot, 0) / nullif(nd * nc, 0), 2))), 6) as d
+  from kn join kc using (fold) left join kd using (fold, doc_id, cat_id)),
+kb as (select doc_id, wanted, cat_id as got from (select *, row_number() over (partition by doc_id order by d, cat_id) as r from kr) where r = 1)
+select wanted as cat1, got as cat2, count(*) as ndocs from kb group by 1, 2"""
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lsi_singular_values, lsi_classify, lsi_bycat, lsi_kbest_docs, lsi_kbest_terms, subcorpus_term_vector,
-        xcheck_summary,
+        xcheck_summary, xcheck_with_cutoffs, xcheck_pairs,
     )
 }
