@@ -220,7 +220,7 @@ def _full_rank(spark, d):
     by_cat = cut(matrix.term_category(cells, dcm), "tcm0")
     tw = cut(matrix.weights(by_cat, "cat_id", "entropy"), "tw")
     tcm = cut(matrix.weighted(by_cat, tw, c.SMOOTH).select("term", "cat_id", "v"), "tcm")
-    s = lsi.svd(tcm, "cat_id", FULL, power=2)
+    s = lsi.svd(tcm, "cat_id", FULL, power=1)  # one pass spans all rows
     squares = F.array(*[F.lit(float(v * v)) for v in s.sigma])
     xcm = lsi.project(tcm, "cat_id", s.factors, len(s.sigma))
     scaled = cut(xcm.select("cat_id", F.zip_with("x", squares, lambda a, b: a * b).alias("y")), "scaled")

@@ -1,4 +1,4 @@
-"""Queries in the reduced space, cross-checking and file formats: rows only, tested by identities instead of SQL."""
+"""Queries in the reduced space of documents, tested by identities and by those of ``extras``, and cross-checking."""
 
 from __future__ import annotations
 

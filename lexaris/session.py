@@ -62,9 +62,9 @@ def _drop(spark: SparkSession, folder: str) -> None:
         logging.getLogger(__name__).info("could not remove %s", folder)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, app: str | None = None) -> None:
     """Removes the tables that ``cut`` has written in this session; results that still read them become unusable."""
-    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    folder = _FOLDERS.pop(app or spark.sparkContext.applicationId, None)
     if folder:
         _drop(spark, folder)
 
@@ -74,7 +74,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_dir(spark)}/lexaris-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(release, spark)
+        atexit.register(release, spark, app)
     return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
