@@ -559,10 +559,26 @@ def eval_top_errors(spark, d):
     return evaluate.top_errors(rows, 20).select("cat1", "cat2", "ndocs", "ferrs")
 
 
-@query("eval_report")
+def _report_sql() -> str:
+    pct = lambda x: f"printf('%6.2f', floor(10000 * ({x}) + 0.5 + 1e-9) / 100)"
+    ctes = ORACLE["eval_global_modes"].rsplit("select mode, round(tp", 1)[0]
+    f = "case when pr = 0 or rc = 0 then 0.0 else 2 / (1 / pr + 1 / rc) end"
+    order = "coalesce(try_cast(nullif(regexp_extract(cat, '^([0-9]+)', 1), '') as bigint), -1), cat"
+    return ctes + f""", md as (select mode, pr, rc, {f} as fm from (select * from t2 union all select * from av)),
+g0 as (select avg(fp) as fp, avg(fn) as fn, avg(pr) as pr, avg(rc) as rc, count(*) as n from bycat join cls using (cat) where class <> 'null'),
+g1 as (select *, case when pr = 1 then 0 else 2 / (1 / (1 - pr) + 1) end as a, case when rc = 1 then 0 else 2 / (1 / (1 - rc) + 1) end as b from g0),
+gg as (select a / (a + b) / (fp * n) as per_fp, b / (a + b) / (fn * n) as per_fn from g1),
+er as (select cat1, cat2, ndocs, case when cat1 = cat2 then 0.0 else case when k1.class = 'null' then 0 else ndocs * per_fn end + case when k2.class = 'null' then 0 else ndocs * per_fp end end as ferrs
+  from pairs join cls k1 on k1.cat = cat1 join cls k2 on k2.cat = cat2, gg)
+select 1 as part, row_number() over (order by mode)::int as pos, printf('%-20s pr=%s rc=%s F=%s', mode, {pct('pr')}, {pct('rc')}, {pct('fm')}) as line from md
+union all select 2, row_number() over (order by {order})::int, printf('%-36s tp=%4d fp=%4d fn=%4d F=%s', cat, tp, fp, fn, {pct('F')}) from bycat
+union all select 3, pos, line from (select row_number() over (order by round(ferrs, 9) desc, cat1, cat2)::int as pos, printf('%s %s -> %s (%d)', {pct('ferrs')}, cat1, cat2, ndocs) as line from er) where pos <= 10"""
+
+
+@query("eval_report", _report_sql())
 def eval_report(spark, d):
     p, c = _classes(spark, d)
-    return evaluate.report(evaluate.global_modes(p, c), evaluate.by_category(p), evaluate.error_shares(p, c))
+    return evaluate.report(evaluate.global_modes(p, c), evaluate.by_category(p), evaluate.error_shares(p, c).withColumn("ferrs", F.round("ferrs", 9)))
 
 
 @query("merge_evals", f"with {_BOTH} select cat1, cat2, 2 * ndocs as ndocs from pairs")
